@@ -2,5 +2,250 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from arborweave.functions import vbyte
+from arborweave.operators import analytics, codecs, forest, relabel, report
+from arborweave.plans import oracles as sql
+from arborweave.plans.graphs import GRAPHS, graph
+from arborweave.session import cut
+from arborweave.sources.edges import vertices
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Graphs on which the relational definition of a query is exact (short chains, few candidate parents).
+SHORT_CHAINS = ("page_link", "events_k", "cust_part", "supp_pair")
+FEW_PARENTS = ("page_link", "supp_pair")
+
+
+def register(name: str, run: Callable[[SparkSession, str], DataFrame], oracle: str | None = None) -> None:
+    QUERIES[name] = run
+    if oracle is not None:
+        ORACLE_SQL[name] = oracle
+
+
+class Graph:
+    """The tables of one graph, each built when it is asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, name: str, adj: DataFrame | None = None) -> None:
+        self.adj = cut(adj if adj is not None else graph(spark, sf_dir, name))
+        self._kept: dict[str, DataFrame] = {}
+
+    def _once(self, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if key not in self._kept:
+            self._kept[key] = cut(make())
+        return self._kept[key]
+
+    @property
+    def vertices(self) -> DataFrame:
+        return vertices(self.adj)
+
+    @property
+    def n_vertices(self) -> int:
+        return (self.adj.agg(F.max(F.greatest("src", "dst"))).first()[0] or -1) + 1
+
+    @property
+    def rows(self) -> DataFrame:
+        return self._once("rows", lambda: relabel.ordered_rows(self.adj))
+
+    @property
+    def parents(self) -> DataFrame:
+        return self._once("parents", lambda: forest.first_fit(self.rows))
+
+    @property
+    def commands(self) -> DataFrame:
+        return self._once("commands", lambda: codecs.tree_commands(self.rows, self.parents))
+
+    @property
+    def score_map(self) -> DataFrame:
+        return self._once("score_map", lambda: relabel.by_score(self.adj, self.vertices))
+
+    @property
+    def renamed_rows(self) -> DataFrame:
+        """Rows with neighbours renumbered by score."""
+        return self._once("renamed_rows", lambda: relabel.ordered_rows(relabel.remap(self.adj, self.score_map, ("dst",))))
+
+    @property
+    def gain_parents(self) -> DataFrame:
+        return self._once("gain_parents", lambda: forest.gain_driven(self.renamed_rows))
+
+    @property
+    def opt_commands(self) -> DataFrame:
+        return self._once("opt_commands", lambda: codecs.tree_commands(self.renamed_rows, self.gain_parents, optimised=True))
+
+
+def _query(name: str, make: Callable[[Graph], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: make(Graph(spark, sf_dir, name))
+
+
+def _commands(df: DataFrame) -> DataFrame:
+    return df.select("src", "seq", "bottom", "steps", "is_path")
+
+
+def _codec_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four codecs' sizes on the page link graph."""
+    g = Graph(spark, sf_dir, "page_link")
+    parts = [codecs.raw_metrics(g.adj), codecs.delta_metrics(g.adj), codecs.command_metrics("tree_vbyte", g.commands), codecs.command_metrics("tree_vbyte_opt", g.opt_commands)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+CMD_SQL = "SELECT src, row_number() OVER (PARTITION BY src ORDER BY bottom_pos) - 1 AS seq, bottom, steps::BIGINT AS steps, steps > 0 AS is_path FROM {0}"
+METRIC_SQL = "(SELECT sum(steps + 1) AS n, sum(" + sql.COST + ") AS b FROM {0})"
+
+for _g in GRAPHS:
+    register(f"adjacency_{_g}", _query(_g, lambda g: g.adj), sql.with_adj(_g, " SELECT src, dst FROM adj"))
+    register(f"degree_{_g}", _query(_g, lambda g: relabel.degrees(g.adj)), sql.with_adj(_g, " SELECT src AS id, count(*) AS degree FROM adj GROUP BY src"))
+    register(f"relabel_degree_{_g}", _query(_g, lambda g: relabel.by_degree(g.adj, g.vertices)), sql.with_adj(_g, f", {sql.RELABEL_DEGREE} SELECT old_id, new_id FROM by_degree"))
+    register(f"relabel_score_{_g}", _query(_g, lambda g: relabel.by_score(g.adj, g.vertices)), sql.with_adj(_g, f", {sql.RELABEL_SCORE} SELECT old_id, new_id FROM by_score"))
+    register(f"delta_gaps_{_g}", _query(_g, lambda g: codecs.delta_gaps(g.adj)), sql.with_adj(_g, f", {sql.GAPS} SELECT src, dst, gap FROM gaps"))
+    register(f"delta_metrics_{_g}", _query(_g, lambda g: codecs.delta_metrics(g.adj)), sql.with_adj(_g, f", {sql.GAPS} " + sql.metrics("delta_vbyte", "n", "b", f"(SELECT count(*) AS n, sum({sql.VLEN.format('gap')}) AS b FROM gaps)")))
+    register(f"delta_decode_{_g}", _query(_g, lambda g: codecs.delta_decode(codecs.delta_gaps(g.adj).select("src", F.col("dst").alias("seq"), "gap"))), sql.with_adj(_g, " SELECT src, dst FROM adj"))
+    register(f"row_order_{_g}", _query(_g, lambda g: g.rows.select("src", F.col("pos").cast("long").alias("pos"), "dst", "freq")), sql.with_rows(_g, " SELECT src, pos, dst, freq FROM rws"))
+    register(f"first_fit_parent_{_g}", _query(_g, lambda g: g.parents), sql.with_rows(_g, " SELECT child, parent FROM ff"))
+    exact = _g in SHORT_CHAINS
+    register(f"tree_commands_{_g}", _query(_g, lambda g: _commands(g.commands)), sql.tree(_g, " " + CMD_SQL.format("greedy")) if exact else None)
+    register(f"tree_metrics_{_g}", _query(_g, lambda g: codecs.command_metrics("tree_vbyte", g.commands)), sql.tree(_g, " " + sql.metrics("tree_vbyte", "n", "b", METRIC_SQL.format("greedy"))) if exact else None)
+    register(f"tree_decode_{_g}", _query(_g, lambda g: codecs.expanded(codecs.decoded_commands(codecs.encoded_rows(g.commands)), g.parents, g.n_vertices)), sql.with_adj(_g, " SELECT src, dst FROM adj"))
+    few = _g in FEW_PARENTS
+    register(f"gain_parent_{_g}", _query(_g, lambda g: g.gain_parents), sql.optimised(_g, " SELECT child, parent, switched FROM par") if few else None)
+    register(f"opt_commands_{_g}", _query(_g, lambda g: _commands(g.opt_commands)), sql.optimised(_g, " " + CMD_SQL.format("chosen")) if few else None)
+    register(f"opt_metrics_{_g}", _query(_g, lambda g: codecs.command_metrics("tree_vbyte_opt", g.opt_commands)), sql.optimised(_g, " " + sql.metrics("tree_vbyte_opt", "n", "b", METRIC_SQL.format("chosen"))) if few else None)
+    register(f"opt_decode_{_g}", _query(_g, lambda g: relabel.unmap(codecs.expanded(codecs.decoded_commands(codecs.encoded_rows(g.opt_commands)), g.gain_parents, g.n_vertices), g.score_map, ("dst",))), sql.with_adj(_g, " SELECT src, dst FROM adj"))
+    register(f"token_ratios_{_g}", _query(_g, lambda g: codecs.token_ratios(g.commands, g.n_vertices)), sql.tree(_g, f", t AS (SELECT count(*) AS n_commands, count(*) FILTER (steps > 0) AS n_paths, CAST(sum(steps + 1) AS BIGINT) AS n_edges, CAST(sum({sql.COST}) AS BIGINT) AS bytes FROM greedy), v AS (SELECT max(greatest(src, dst)) + 1 AS n FROM adj) SELECT n_commands, n_paths, n_edges, bytes, round(n_commands::DOUBLE / n_edges, 6) AS token_edge_ratio, round(n_paths::DOUBLE / n_commands, 6) AS path_token_ratio, round((bytes * 8.0::DOUBLE + 32.0::DOUBLE * n + 32.0::DOUBLE * (n + 1)) / n_edges, 6) AS total_bpe FROM t, v") if exact else None)
+
+for _g in ("page_link", "events_k", "supp_pair"):
+    labels = sql.with_adj(_g, f", {sql.LABELS} SELECT id, component FROM labels", recursive=True)
+    register(f"components_{_g}", _query(_g, lambda g: analytics.component_table(g.adj, g.vertices)), labels)
+    register(f"components_encoded_{_g}", _query(_g, lambda g: analytics.component_table_encoded(g.commands, g.parents, g.vertices)), labels)
+    register(f"component_sizes_{_g}", _query(_g, lambda g: analytics.component_sizes(analytics.component_table(g.adj, g.vertices))), sql.with_adj(_g, f", {sql.LABELS} SELECT component, count(*) AS size FROM labels GROUP BY component", recursive=True))
+    levels = sql.with_adj(_g, f", {sql.BFS} SELECT id, level FROM levels", recursive=True)
+    register(f"bfs_levels_{_g}", _query(_g, lambda g: analytics.bfs_levels(g.adj, analytics.start_vertex(g.adj))), levels)
+    register(f"bfs_levels_encoded_{_g}", _query(_g, lambda g: analytics.bfs_levels_encoded(g.commands, g.parents, analytics.start_vertex(g.adj), g.n_vertices)), levels)
+    register(f"bfs_visited_{_g}", _query(_g, lambda g: analytics.bfs_levels(g.adj, analytics.start_vertex(g.adj)).agg(F.count("*").alias("visited"))), sql.with_adj(_g, f", {sql.BFS} SELECT count(*) AS visited FROM levels", recursive=True))
+
+for _g in ("page_link", "supp_pair", "lineitem_pair"):
+    counted = sql.with_adj(_g, f", {sql.TRIANGLES} SELECT count(*) AS triangles FROM tri")
+    register(f"triangles_{_g}", _query(_g, lambda g: analytics.triangle_count(g.adj)), counted)
+    register(f"triangles_encoded_{_g}", _query(_g, lambda g: analytics.triangle_count_encoded(g.commands, g.parents, g.n_vertices)), counted)
+    register(f"local_triangles_{_g}", _query(_g, lambda g: analytics.local_triangles(g.adj)), sql.with_adj(_g, f", {sql.TRIANGLES} SELECT id, count(*) AS triangles FROM (SELECT u AS id FROM tri UNION ALL SELECT v FROM tri UNION ALL SELECT w FROM tri) GROUP BY id"))
+
+
+def _directed(g: Graph) -> DataFrame:
+    return _commands(codecs.tree_commands(g.rows, g.parents, least=2))
+
+
+def _directed_graph(name: str) -> Callable[[SparkSession, str], Graph]:
+    return lambda spark, sf_dir: Graph(spark, sf_dir, name, graph(spark, sf_dir, name, directed=True))
+
+
+for _g in ("page_link", "lineitem_pair"):
+    _make = _directed_graph(_g)
+    register(f"directed_adjacency_{_g}", lambda spark, sf_dir, m=_make: m(spark, sf_dir).adj, sql.with_adj(_g, " SELECT src, dst FROM adj", directed=True))
+    register(f"directed_commands_{_g}", lambda spark, sf_dir, m=_make: _directed(m(spark, sf_dir)))
+
+    def _round_trip(spark: SparkSession, sf_dir: str, m=_make) -> DataFrame:
+        g = m(spark, sf_dir)
+        return codecs.expanded(codecs.decoded_commands(codecs.encoded_rows(_directed(g))), g.parents, g.n_vertices)
+
+    register(f"directed_decode_{_g}", _round_trip, sql.with_adj(_g, " SELECT src, dst FROM adj", directed=True))
+
+
+def _relabelled(name: str) -> Callable[[SparkSession, str], Graph]:
+    def make(spark: SparkSession, sf_dir: str) -> Graph:
+        g = Graph(spark, sf_dir, name)
+        return Graph(spark, sf_dir, name, relabel.remap(g.adj, relabel.by_degree(g.adj, g.vertices)))
+
+    return make
+
+
+for _g in SHORT_CHAINS:
+    register(f"relabelled_metrics_{_g}", lambda spark, sf_dir, m=_relabelled(_g): codecs.command_metrics("tree_vbyte_relabelled", m(spark, sf_dir).commands), sql.with_rows(_g, "," + sql.WALK.format(par="ff") + " " + sql.metrics("tree_vbyte_relabelled", "n", "b", METRIC_SQL.format("greedy")), adj="moved", extra=f"{sql.RELABEL_DEGREE},\nmoved AS MATERIALIZED (SELECT x.new_id AS src, y.new_id AS dst FROM adj JOIN by_degree x ON x.old_id = src JOIN by_degree y ON y.old_id = dst),"))
+
+register("codec_metrics", _codec_metrics, sql.optimised("page_link", f""", base AS (SELECT count(*) AS n FROM adj), {sql.GAPS},
+old_freq AS (SELECT dst, count(*) AS freq FROM adj GROUP BY dst),
+old_rws AS (SELECT a.src, a.dst, row_number() OVER (PARTITION BY a.src ORDER BY f.freq DESC, a.dst) - 1 AS pos FROM adj a JOIN old_freq f ON a.dst = f.dst),
+ff_old AS (SELECT child, arg_min(parent, src) AS parent FROM (SELECT src, dst AS child, lag(dst) OVER w AS parent FROM old_rws WINDOW w AS (PARTITION BY src ORDER BY pos)) WHERE parent IS NOT NULL GROUP BY child),
+old_up AS (SELECT r.src, r.pos, q.pos AS parent_pos FROM old_rws r LEFT JOIN ff_old p ON p.child = r.dst LEFT JOIN old_rws q ON q.src = r.src AND q.dst = p.parent),
+old_walk AS (SELECT src, pos AS bottom_pos, pos, parent_pos FROM old_up UNION ALL SELECT w.src, w.bottom_pos, u.pos, u.parent_pos FROM old_walk w JOIN old_up u ON u.src = w.src AND u.pos = w.parent_pos),
+old_right AS (SELECT src, pos, max(bottom_pos) AS m FROM old_walk GROUP BY src, pos),
+old_greedy AS (SELECT g.src, r.dst AS bottom, g.n - 1 AS steps FROM (SELECT src, m, count(*) AS n FROM old_right GROUP BY src, m) g JOIN old_rws r ON r.src = g.src AND r.pos = g.m)
+{sql.metrics("raw32", "n", "(n * 4)", "base")}
+UNION ALL {sql.metrics("delta_vbyte", "n", "b", f"(SELECT count(*) AS n, sum({sql.VLEN.format('gap')}) AS b FROM gaps)")}
+UNION ALL {sql.metrics("tree_vbyte", "n", "b", METRIC_SQL.format("old_greedy"))}
+UNION ALL {sql.metrics("tree_vbyte_opt", "n", "b", METRIC_SQL.format("chosen"))}"""))
+
+
+def _vbyte_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded gaps of the page link graph, as text."""
+    gaps = codecs.delta_gaps(graph(spark, sf_dir, "page_link"))
+    return gaps.select("src", "dst", vbyte.vbyte_hex(F.col("gap")).alias("hex"), vbyte.vbyte_length(F.col("gap")).alias("n_bytes"))
+
+
+register("vbyte_hex", _vbyte_hex, sql.with_adj("page_link", f""", {sql.GAPS}
+SELECT src, dst, list_aggregate(list_transform(range(0, n), lambda i: lpad(lower(hex(CAST(((gap >> (7 * i)) & 127) + CASE WHEN i < n - 1 THEN 128 ELSE 0 END AS BIGINT))), 2, '0')), 'string_agg', '') AS hex, n AS n_bytes
+FROM (SELECT src, dst, gap, CAST({sql.VLEN.format('gap')} AS BIGINT) AS n FROM gaps)"""))
+
+
+def _pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Command words of neighbours and back."""
+    adj = graph(spark, sf_dir, "cust_part")
+    word = vbyte.pack_command(F.col("dst"), F.col("src") % 2 == 0)
+    packed = adj.select("src", "dst", word.alias("word"))
+    return packed.select("src", "dst", "word", vbyte.command_node(F.col("word")).alias("node"), vbyte.command_is_path(F.col("word")).alias("is_path"), vbyte.single_bytes(F.col("dst")).alias("single"), vbyte.path_bytes(F.col("dst"), F.col("src")).alias("path"))
+
+
+register("command_words", _pack, sql.with_adj("cust_part", f" SELECT src, dst, (dst << 1) | (CASE WHEN src % 2 = 0 THEN 1 ELSE 0 END) AS word, dst AS node, src % 2 = 0 AS is_path, CAST({sql.VLEN.format('(dst * 2)')} AS BIGINT) AS single, CAST(({sql.VLEN.format('(dst * 2 + 1)')}) + ({sql.VLEN.format('src')}) AS BIGINT) AS path FROM adj"))
+
+
+def _cross_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain against encoded results of the three analytics on two graphs, summed up."""
+    rows = []
+    for name in ("page_link", "supp_pair"):
+        g = Graph(spark, sf_dir, name)
+        start = analytics.start_vertex(g.adj)
+        pairs = (
+            (analytics.component_table(g.adj, g.vertices).select("component").distinct().count(), analytics.component_table_encoded(g.commands, g.parents, g.vertices).select("component").distinct().count()),
+            (analytics.triangle_count(g.adj).first()[0], analytics.triangle_count_encoded(g.commands, g.parents, g.n_vertices).first()[0]),
+            (analytics.bfs_levels(g.adj, start).count(), analytics.bfs_levels_encoded(g.commands, g.parents, start, g.n_vertices).count()),
+        )
+        rows += [(f"{name}_{k}", a, b) for k, (a, b) in zip(("components", "triangles", "bfs"), pairs)]
+    return analytics.accuracy(spark.createDataFrame(rows, "dataset string, plain long, encoded long"))
+
+
+register("cross_checks", _cross_checks, "SELECT 6::BIGINT AS checked, 6::BIGINT AS correct, 0::BIGINT AS failed, 100.0::DOUBLE AS accuracy_pct")
+
+
+def _report_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Metric rows as a report has them: delta and raw sizes of three graphs, and an external table made from degrees."""
+    own = None
+    for name in ("page_link", "cust_part", "supp_pair"):
+        adj = cut(graph(spark, sf_dir, name))
+        rows = codecs.raw_metrics(adj).unionByName(codecs.delta_metrics(adj)).select(F.lit(name).alias("Dataset"), F.col("codec").alias("Algorithm"), F.col("data_mb").alias("Data_MB"), F.col("bpe").alias("BPE"), F.lit(1.0).alias("Correct"))
+        own = rows if own is None else own.unionByName(rows)
+    external = spark.createDataFrame([("page_link", "SOTA", 0.5, 6.25, 1.0), ("supp_pair", "SOTA", None, 1.5, None)], "Dataset string, Algorithm string, Data_MB double, BPE double, Correct double")
+    return own, external
+
+
+def _report_sql(tail: str) -> str:
+    parts, ctes = [], []
+    for name in ("page_link", "cust_part", "supp_pair"):
+        inner = sql.adjacency_sql(name).replace("edges AS", f"e_{name} AS").replace("FROM edges", f"FROM e_{name}").replace("adj AS", f"a_{name} AS")
+        ctes += [inner, f"g_{name} AS (SELECT dst - coalesce(lag(dst) OVER (PARTITION BY src ORDER BY dst), 0) AS gap FROM a_{name})"]
+        for codec, n, b, source in (("raw32", "n", "(n * 4)", f"(SELECT count(*) AS n FROM a_{name})"), ("delta_vbyte", "n", "b", f"(SELECT count(*) AS n, sum({sql.VLEN.format('gap')}) AS b FROM g_{name})")):
+            parts.append(f"SELECT '{name}' AS \"Dataset\", codec AS \"Algorithm\", data_mb AS \"Data_MB\", bpe AS \"BPE\", 1.0::DOUBLE AS \"Correct\" FROM ({sql.metrics(codec, n, b, source)})")
+    external = "SELECT 'page_link' AS \"Dataset\", 'SOTA' AS \"Algorithm\", 0.5::DOUBLE AS \"Data_MB\", 6.25::DOUBLE AS \"BPE\", 1.0::DOUBLE AS \"Correct\" UNION ALL SELECT 'supp_pair', 'SOTA', NULL, 1.5, NULL"
+    return f"WITH {', '.join(ctes)}, own AS ({' UNION ALL '.join(parts)}), ext AS ({external}) {tail}"
+
+
+ORDER = ["raw32", "SOTA", "delta_vbyte"]
+register("report_merge", lambda s, d: report.with_ratio(report.merge_results(*_report_rows(s, d), ORDER), "raw32").withColumn("ratio_pct", F.round("ratio_pct", 6)), _report_sql("""SELECT *, CAST(list_position(['raw32', 'SOTA', 'delta_vbyte'], "Algorithm") - 1 AS INTEGER) AS algo_rank, round("BPE" / 32.0::DOUBLE * 100, 6) AS ratio_pct FROM (SELECT * FROM own UNION ALL SELECT * FROM ext)"""))
+register("report_insert_external", lambda s, d: report.insert_external(*_report_rows(s, d), "raw32", "tree_vbyte"), _report_sql("""SELECT *, CASE WHEN "Algorithm" = 'raw32' THEN 0.0::DOUBLE ELSE 2.0::DOUBLE END AS place FROM own UNION ALL SELECT d."Dataset", 'SOTA', e."Data_MB", e."BPE", e."Correct", 0.5::DOUBLE FROM (SELECT DISTINCT "Dataset" FROM own) d LEFT JOIN ext e ON e."Dataset" = d."Dataset" """))
+register("report_wide", lambda s, d: report.wide_table(report.merge_results(*_report_rows(s, d), ORDER), ORDER), _report_sql("""SELECT "Dataset", max("BPE") FILTER ("Algorithm" = 'raw32') AS raw32, max("BPE") FILTER ("Algorithm" = 'SOTA') AS "SOTA", max("BPE") FILTER ("Algorithm" = 'delta_vbyte') AS delta_vbyte FROM (SELECT * FROM own UNION ALL SELECT * FROM ext) GROUP BY "Dataset" """))
+register("report_ratio_curves", lambda s, d: report.ratio_curves(report.merge_results(*_report_rows(s, d), ORDER), "raw32").withColumn("ratio_pct", F.round("ratio_pct", 6)), _report_sql("""SELECT "Dataset", "Algorithm", round("BPE" / 32.0::DOUBLE * 100, 6) AS ratio_pct FROM (SELECT * FROM own UNION ALL SELECT * FROM ext)"""))
