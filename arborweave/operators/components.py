@@ -38,7 +38,7 @@ def component_labels(edges: DataFrame) -> DataFrame:
     previous = None
     for _ in range(MAX_ROUNDS):
         links = cut(_small_star(_large_star(links)))
-        total = links.agg(F.count("*").alias("n"), F.sum("dst").cast("decimal(38,0)").alias("s"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")).first()
+        total = links.agg(F.count("*").alias("n"), F.sum(F.col("dst").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")).first()
         if previous == tuple(total):
             break
         previous = tuple(total)
