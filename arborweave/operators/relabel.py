@@ -25,10 +25,12 @@ def by_degree(adj: DataFrame, vertices: DataFrame) -> DataFrame:
 def scores(adj: DataFrame, vertices: DataFrame) -> DataFrame:
     """id, frequency, followed, preceded, score: in how many rows a vertex stands, has a successor, has a predecessor.
 
-    Rows are in ascending order. First and last places of rows are counted instead of windows over
+    Rows are by frequency from high to low, then id. First and last places of rows are counted instead of windows over
     every row: a vertex is preceded in all its rows but those that it begins.
     """
-    ends = adj.groupBy("src").agg(F.min("dst").alias("first"), F.max("dst").alias("last"))
+    counted = adj.groupBy(F.col("dst").alias("__id")).agg(F.count("*").alias("__n"))
+    place = F.struct(-F.col("__n"), "dst")
+    ends = adj.join(counted, F.col("dst") == F.col("__id")).groupBy("src").agg(F.min_by("dst", place).alias("first"), F.max_by("dst", place).alias("last"))
     begins = ends.groupBy(F.col("first").alias("id")).agg(F.count("*").alias("begins"))
     finishes = ends.groupBy(F.col("last").alias("id")).agg(F.count("*").alias("finishes"))
     frequency = adj.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("frequency"))

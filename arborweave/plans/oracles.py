@@ -66,7 +66,8 @@ VERTICES = "ids AS (SELECT unnest(range(0, (SELECT max(greatest(src, dst)) + 1 F
 RELABEL_DEGREE = f"""{VERTICES},
 by_degree AS (SELECT id AS old_id, row_number() OVER (ORDER BY coalesce(d, 0) DESC, id) - 1 AS new_id FROM ids LEFT JOIN (SELECT src, count(*) AS d FROM adj GROUP BY src) x ON x.src = id)"""
 RELABEL_SCORE = f"""{VERTICES},
-sides AS (SELECT dst, lag(dst) OVER w IS NOT NULL AS has_left, lead(dst) OVER w IS NOT NULL AS has_right FROM adj WINDOW w AS (PARTITION BY src ORDER BY dst)),
+how_often AS (SELECT dst AS id, count(*) AS n FROM adj GROUP BY dst),
+sides AS (SELECT dst, lag(dst) OVER w IS NOT NULL AS has_left, lead(dst) OVER w IS NOT NULL AS has_right FROM adj JOIN how_often h ON h.id = dst WINDOW w AS (PARTITION BY src ORDER BY n DESC, dst)),
 counts AS (SELECT dst AS id, count(*) AS f, count(*) FILTER (has_right) AS p, count(*) FILTER (has_left) AS b FROM sides GROUP BY dst),
 scored AS (SELECT ids.id, coalesce(f, 0) AS frequency, coalesce(p, 0) AS followed, coalesce(b, 0) AS preceded, 1.00::DOUBLE * coalesce(f, 0) + 0.75::DOUBLE * coalesce(p, 0) + 0.50::DOUBLE * coalesce(b, 0) AS score FROM ids LEFT JOIN counts c ON c.id = ids.id),
 by_score AS (SELECT id AS old_id, row_number() OVER (ORDER BY score DESC, frequency DESC, id) - 1 AS new_id FROM scored)"""
