@@ -30,12 +30,20 @@ from arborweave.session import cut, ship
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a worker keeps in each of two generations, the longest word kept, and texts looked up at once.
-CACHE_WORDS, CACHE_CHARS, TEXTS = 300_000, 64, 256
+CACHE_WORDS, CACHE_CHARS, TEXTS = 400_000, 64, 256
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, task int, local long"
 
 
-#: A point or comma behind a letter or digit and before white space is a token of its own in any case.
-_POINT = re.compile(r"(?<=[a-z0-9\xdf-\xf6\xf8-\xff])([.,])(?=[ \t\r\n]|$)")
+#: Lower-case letters of Latin-1: such a word passes normalizer and pre-tokenizer unchanged but for its bytes' stand-ins.
+#: ASCII punctuation behind it is a token of its own.
+_LETTERS = re.compile("([a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+)([!-/:-@[-`{-~]*)")
+
+
+def _stand_ins() -> dict[int, str]:
+    """Byte-level vocabularies write bytes that aren't printable Latin-1 as characters from 256 on, in order."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class WordTokenizer:
@@ -51,7 +59,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.stand_ins = self.tokenizer.model, _stand_ins()
         self.young: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     @staticmethod
@@ -62,9 +72,35 @@ class WordTokenizer:
             pass
         else:
             if "<|" not in text:  # a special token's name has to be met as it stands
-                text = _POINT.sub(r" \1", text.lower())
+                text = text.lower()
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
+    def encoded(self, words: list[str]) -> list[bytes]:
+        return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        """Ids of new words. Letters go to the vocabulary's merges alone, punctuation behind them is looked up."""
+        young, old, merge, other = self.young, self.old, self.model.tokenize, []
+        for word in words:
+            if not (found := _LETTERS.fullmatch(word)):
+                other.append(word)
+                continue
+            stem, tail = found.groups()
+            ids = young.get(stem) or old.get(stem)
+            if ids is None:
+                plain = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.stand_ins)
+                ids = array.array("I", [t.id for t in merge(plain)]).tobytes()
+            if tail:
+                if len(stem) <= CACHE_CHARS:
+                    young[stem] = ids
+                if tail not in self.tails:
+                    if len(self.tails) > CACHE_WORDS:
+                        self.tails.clear()
+                    self.tails[tail] = self.encoded([tail])[0]
+                ids += self.tails[tail]
+            young[word] = ids
+        young.update(zip(other, self.encoded(other)))
+
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [self.words(t) for t in texts]
         if len(self.young) > CACHE_WORDS:
@@ -73,8 +109,7 @@ class WordTokenizer:
         new = [w for w in set().union(*split) if w not in young]
         young.update((w, old[w]) for w in new if w in old)
         if new := [w for w in new if w not in young]:
-            found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            young.update((w, array.array("I", e.ids).tobytes()) for w, e in zip(new, found))
+            self.learn(new)
         out = [b"".join(map(young.__getitem__, words)) for words in split]
         for w in new:
             if len(w) > CACHE_CHARS:
