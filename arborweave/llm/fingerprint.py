@@ -118,12 +118,14 @@ def _sketches(texts: list[str], sketch: int) -> list[np.ndarray]:
     symbols = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     names: list[np.ndarray] = []
     owners: list[np.ndarray] = []
+    open_texts = np.ones(len(texts), dtype=bool)
     for level in range(LEVELS + 1):
         if level:
             symbols, first = parse_level(symbols, first)
         count = np.diff(first, append=len(symbols))
         used = lengths < TINY if level == 0 else lengths < SHORT if level == 1 else np.ones(len(texts), dtype=bool)
-        chosen = np.repeat(used, count)
+        chosen = np.repeat((used | (count == 1)) & open_texts, count)
+        open_texts &= count > 1  # a text that is one phrase has no further level
         if chosen.any():
             names.append(_mix(symbols[chosen] + _LEVEL[level]) >> np.uint64(32))
             owners.append(np.repeat(np.arange(len(texts), dtype=np.uint64), count)[chosen])
