@@ -79,7 +79,8 @@ def source_targets(sums: DataFrame, schedules: Sequence[Sequence[float]] = SCHED
     earlier = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     level = (F.col("__total") - F.coalesce(F.sum("__cap").over(earlier), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(earlier), F.lit(0.0)))
     levels = capped.withColumn("__total", F.sum("source_size").over(everything) * F.lit(float(share))).withColumn("__level", level)
-    found = F.min(F.when(F.col("__cap") / F.col("weight") > F.col("__level"), F.struct(F.col("__cap") / F.col("weight"), F.col("__level").alias("level")))).over(everything)["level"]
+    # From the first source that isn't capped on, levels fall: its level is the highest of those below their source's ratio.
+    found = F.max(F.when(F.col("__cap") / F.col("weight") > F.col("__level"), F.col("__level"))).over(everything)
     target = F.coalesce(F.least(F.col("__cap"), found * F.col("weight")), F.col("__cap"))
     return levels.select("source", "source_size", "class", "weight", target.alias("target"))
 
