@@ -44,6 +44,8 @@ class Node:
     def expression(self) -> Column:
         if self.left is None or self.right is None:
             return F.lit(self.first)
+        if not self.dimension:  # a node without rows
+            return F.lit(None).cast("int")
         own = F.col(self.dimension)
         goes_left = (own < F.lit(self.key)) | ((own == F.lit(self.key)) & (F.col("__tie") < F.lit(self.tie)))
         return F.when(goes_left, self.left.expression()).otherwise(self.right.expression())
