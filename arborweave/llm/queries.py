@@ -66,4 +66,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_phrase_fingerprints, op2_simhash_components, op3_curriculum_mix, op4_threshold_top_k, op5_compression_quality, op6_kd_tree_shards, op7_entropy_secrets, op8_ngram_language, op9_feistel_pseudonyms, op10_best_fit_packing)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Hashes, trained models, tokenizers and trees are beyond SQL; those queries are tested against plain definitions.
+ORACLE_SQL: dict[str, str] = {
+    "op4_threshold_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
