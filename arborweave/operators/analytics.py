@@ -60,6 +60,15 @@ def start_vertex(adj: DataFrame) -> int | None:
     return best[0]["src"] if best else None
 
 
+#: Levels after which the table of seen vertices is written anew; between, it is a union of the levels' own checkpoints.
+MERGE_EVERY = 8
+
+
+def _grown(seen: DataFrame, frontier: DataFrame, level: int) -> DataFrame:
+    both = seen.unionByName(frontier)
+    return cut(both) if level % MERGE_EVERY == 0 else both
+
+
 def bfs_levels(adj: DataFrame, start: int) -> DataFrame:
     """id, level of every vertex that ``start`` reaches. One join and one anti-join a level, cut off by reliable checkpoints."""
     spark = adj.sparkSession
@@ -72,7 +81,7 @@ def bfs_levels(adj: DataFrame, start: int) -> DataFrame:
         frontier = cut(reached.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("level")))
         if frontier.isEmpty():
             return seen
-        seen = cut(seen.unionByName(frontier))
+        seen = _grown(seen, frontier, level)
 
 
 def use_commands(token_edge_ratio: float, path_token_ratio: float, n_vertices: int) -> bool:
@@ -96,7 +105,7 @@ def bfs_levels_encoded(commands: DataFrame, parents: DataFrame, start: int, n_ve
         frontier = cut(reached.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("level")))
         if frontier.isEmpty():
             return seen
-        seen = cut(seen.unionByName(frontier))
+        seen = _grown(seen, frontier, level)
         done = cut(done.union(new).groupBy("bottom").agg(F.max("expanded_to").alias("expanded_to")))
 
 
