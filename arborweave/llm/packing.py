@@ -106,10 +106,11 @@ class WordTokenizer:
         if len(self.young) > CACHE_WORDS:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        new = [w for w in set().union(*split) if w not in young]
-        young.update((w, old[w]) for w in new if w in old)
-        if new := [w for w in new if w not in young]:
-            self.learn(new)
+        missing = set().union(*split).difference(young)
+        new = missing.difference(old)
+        young.update((w, old[w]) for w in missing if w not in new)
+        if new:
+            self.learn(list(new))
         out = [b"".join(map(young.__getitem__, words)) for words in split]
         for w in new:
             if len(w) > CACHE_CHARS:
