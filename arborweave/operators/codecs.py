@@ -253,11 +253,13 @@ def decoded_commands(encoded: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            payload = [p or b"" for p in batch.column("payload").to_pylist()]
-            value, _ = vbyte.decode(np.frombuffer(b"".join(payload), dtype=np.uint8))
+            column = batch.column("payload")
+            offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+            raw = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+            value, ends = vbyte.decode(raw)
             if not len(value):
                 continue
-            counts = np.array([int((np.frombuffer(p, np.uint8) < 128).sum()) for p in payload])
+            counts = np.diff(np.searchsorted(ends, offsets - offsets[0], side="right"))
             odd = (value & 1) == 1
             index = np.arange(len(value))
             begin = np.where(np.concatenate(([True], ~odd[:-1])), index, 0)
@@ -320,6 +322,12 @@ def _expanded_by_joins(commands: DataFrame, parents: DataFrame) -> DataFrame:
     return open_ones.select("src", F.col("node").alias("dst"))
 
 
+def holds(commands: DataFrame, parents: DataFrame, probes: DataFrame, vertices: int | None = None) -> DataFrame:
+    """src, dst of those ``probes`` that stand in their row, looked up in the commands of the probed rows alone."""
+    probed = commands.join(probes.select(F.col("src").alias("__src")).distinct(), F.col("src") == F.col("__src"), "left_semi")
+    return probes.select("src", "dst").join(expanded(probed, parents, vertices), ["src", "dst"], "left_semi")
+
+
 def same_edges(a: DataFrame, b: DataFrame) -> bool:
     """Whether two edge tables hold the same rows the same number of times."""
     return a.select("src", "dst").exceptAll(b.select("src", "dst")).isEmpty() and b.select("src", "dst").exceptAll(a.select("src", "dst")).isEmpty()

@@ -102,6 +102,9 @@ METRIC_SQL = "(SELECT sum(steps + 1) AS n, sum(" + sql.COST + ") AS b FROM {0})"
 for _g in GRAPHS:
     register(f"adjacency_{_g}", _query(_g, lambda g: g.adj), sql.with_adj(_g, " SELECT src, dst FROM adj"))
     register(f"degree_{_g}", _query(_g, lambda g: relabel.degrees(g.adj)), sql.with_adj(_g, " SELECT src AS id, count(*) AS degree FROM adj GROUP BY src"))
+    register(f"edge_stats_{_g}", _query(_g, lambda g: g.adj.agg(F.count("*").alias("n_edges"), (F.max(F.greatest("src", "dst")) + 1).alias("n_vertices"), F.countDistinct("src").alias("n_rows"))), sql.with_adj(_g, " SELECT count(*) AS n_edges, max(greatest(src, dst)) + 1 AS n_vertices, count(DISTINCT src) AS n_rows FROM adj"))
+    register(f"raw_metrics_{_g}", _query(_g, lambda g: codecs.raw_metrics(g.adj)), sql.with_adj(_g, " " + sql.metrics("raw32", "n", "(n * 4)", "(SELECT count(*) AS n FROM adj)")))
+    register(f"holds_{_g}", _query(_g, lambda g: codecs.holds(g.commands, g.parents, g.adj.select(F.col("dst").alias("src"), (F.col("src") + F.col("dst") % 2).alias("dst")), g.n_vertices)), sql.with_adj(_g, " SELECT p.src, p.dst FROM (SELECT dst AS src, src + dst % 2 AS dst FROM adj) p SEMI JOIN adj a ON a.src = p.src AND a.dst = p.dst"))
     register(f"relabel_degree_{_g}", _query(_g, lambda g: relabel.by_degree(g.adj, g.vertices)), sql.with_adj(_g, f", {sql.RELABEL_DEGREE} SELECT old_id, new_id FROM by_degree"))
     register(f"relabel_score_{_g}", _query(_g, lambda g: relabel.by_score(g.adj, g.vertices)), sql.with_adj(_g, f", {sql.RELABEL_SCORE} SELECT old_id, new_id FROM by_score"))
     register(f"delta_gaps_{_g}", _query(_g, lambda g: codecs.delta_gaps(g.adj)), sql.with_adj(_g, f", {sql.GAPS} SELECT src, dst, gap FROM gaps"))
