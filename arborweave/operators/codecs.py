@@ -41,6 +41,28 @@ def delta_payload(adj: DataFrame) -> DataFrame:
     return _payload(gaps).select("src", "payload", F.col("n_values").alias("n_edges"))
 
 
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All VByte values of a batch of payloads, and how many each payload holds (0 for null)."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    value, ends = vbyte.decode(raw)
+    return value, np.diff(np.searchsorted(ends, offsets - offsets[0], side="right"))
+
+
+def delta_expanded(encoded: DataFrame) -> DataFrame:
+    """src, dst from rows of gap bytes: running sums that begin anew with each row, without a sort."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value, counts = _values(batch.column("payload"))
+            total = np.cumsum(value)
+            before = np.concatenate(([0], total))[np.cumsum(counts) - counts]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("src").to_numpy(), counts)), pa.array(total - np.repeat(before, counts))], ["src", "dst"])
+
+    ship(encoded.sparkSession)
+    return encoded.select("src", "payload").mapInArrow(run, "src long, dst long")
+
+
 def _payload(values: DataFrame) -> DataFrame:
     """src, payload, n_values of (src, seq, value): VByte bytes in order of seq. A row's values meet in one task, as its list does in every codec."""
 
@@ -253,13 +275,9 @@ def decoded_commands(encoded: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("payload")
-            offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
-            raw = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
-            value, ends = vbyte.decode(raw)
+            value, counts = _values(batch.column("payload"))
             if not len(value):
                 continue
-            counts = np.diff(np.searchsorted(ends, offsets - offsets[0], side="right"))
             odd = (value & 1) == 1
             index = np.arange(len(value))
             begin = np.where(np.concatenate(([True], ~odd[:-1])), index, 0)

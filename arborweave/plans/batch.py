@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from arborweave.operators import analytics, codecs
 from arborweave.plans.registry import Graph
+from arborweave.session import cut
 from arborweave.sources.edges import adjacency, dataset_name, read_edges
 
 METRICS = "dataset string, codec string, n_edges long, bytes long, data_mb double, bpe double, ratio_pct double, meps double, correct boolean"
@@ -57,12 +58,11 @@ def benchmark(spark: SparkSession, paths: Iterable[str], fmt: str = "edges", tim
     """Sizes of all codecs per dataset, each checked by decoding and comparing whole rows; ``timed``: decode speed too."""
 
     def make(name: str, g: Graph) -> list[tuple]:
-        gaps = codecs.delta_gaps(g.adj).select("src", F.col("dst").alias("seq"), "gap")
-        tree, best = codecs.encoded_rows(g.commands), codecs.encoded_rows(g.opt_commands)
+        delta, tree, best = (cut(x) for x in (codecs.delta_payload(g.adj), codecs.encoded_rows(g.commands), codecs.encoded_rows(g.opt_commands)))
         n = g.n_vertices
         decoded = {
             "raw32": (codecs.raw_metrics(g.adj), g.adj, lambda d: d),
-            "delta_vbyte": (codecs.delta_metrics(g.adj), codecs.delta_decode(gaps), lambda d: d),
+            "delta_vbyte": (codecs.delta_metrics(g.adj), codecs.delta_expanded(delta), lambda d: d),
             "tree_vbyte": (codecs.command_metrics("tree_vbyte", g.commands), codecs.expanded(codecs.decoded_commands(tree), g.parents, n), lambda d: d),
             "tree_vbyte_opt": (codecs.command_metrics("tree_vbyte_opt", g.opt_commands), codecs.expanded(codecs.decoded_commands(best), g.gain_parents, n), lambda d: _old_ids(d, g)),
         }

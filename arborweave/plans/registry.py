@@ -110,6 +110,7 @@ for _g in GRAPHS:
     register(f"delta_gaps_{_g}", _query(_g, lambda g: codecs.delta_gaps(g.adj)), sql.with_adj(_g, f", {sql.GAPS} SELECT src, dst, gap FROM gaps"))
     register(f"delta_metrics_{_g}", _query(_g, lambda g: codecs.delta_metrics(g.adj)), sql.with_adj(_g, f", {sql.GAPS} " + sql.metrics("delta_vbyte", "n", "b", f"(SELECT count(*) AS n, sum({sql.VLEN.format('gap')}) AS b FROM gaps)")))
     register(f"delta_decode_{_g}", _query(_g, lambda g: codecs.delta_decode(codecs.delta_gaps(g.adj).select("src", F.col("dst").alias("seq"), "gap"))), sql.with_adj(_g, " SELECT src, dst FROM adj"))
+    register(f"delta_payload_decode_{_g}", _query(_g, lambda g: codecs.delta_expanded(codecs.delta_payload(g.adj))), sql.with_adj(_g, " SELECT src, dst FROM adj"))
     register(f"row_order_{_g}", _query(_g, lambda g: g.rows.select("src", F.col("pos").cast("long").alias("pos"), "dst", "freq")), sql.with_rows(_g, " SELECT src, pos, dst, freq FROM rws"))
     register(f"first_fit_parent_{_g}", _query(_g, lambda g: g.parents), sql.with_rows(_g, " SELECT child, parent FROM ff"))
     exact = _g in SHORT_CHAINS

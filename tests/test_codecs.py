@@ -130,6 +130,7 @@ def by_row(commands):
 
 def test_golden_delta(g0):
     assert hex_of(codecs.delta_payload(g0)) == "020107010201010203060101050205010501"
+    assert codecs.same_edges(codecs.delta_expanded(codecs.delta_payload(g0)), g0)
     row = codecs.delta_metrics(g0).first()
     assert (row["n_edges"], row["bytes"], row["bpe"], row["ratio_pct"]) == (18, 18, 8.0, 25.0)
     raw = codecs.raw_metrics(g0).first()
