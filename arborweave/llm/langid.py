@@ -26,6 +26,8 @@ from arborweave.session import ship
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 SAMPLE = 4_000
+#: Languages that the broadcast matrix may have (64 MB); more are an error, none is dropped.
+MAX_LANGUAGES = 512
 BATCH_CHARS = 200_000
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -128,6 +130,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     known = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     languages = sorted(rows)
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"{len(languages)} languages; the matrix is planned for {MAX_LANGUAGES} at most")
     if not languages:
         return Model([], np.zeros((1, BUCKETS)), np.zeros(1))
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))

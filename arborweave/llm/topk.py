@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from arborweave.session import ship
 
-QUERY_BLOCK = 8192
+#: Queries of a block at most, and their components at most: 4 million, 64 MB in the forms that are broadcast.
+QUERY_BLOCK, BLOCK_COMPONENTS = 8192, 1 << 22
 LISTS = 4
 ROWS = 1024
 SCHEMA = "query_id long, vec_id long, score long"
@@ -177,6 +178,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 2
     done: DataFrame | None = None
     ids: list[int] = []
     block: list[list[int]] = []
+    components = 0
 
     def search() -> None:
         nonlocal done, ids, block
@@ -191,8 +193,10 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 2
     for row in queries.toLocalIterator():  # one block in the driver at a time
         ids.append(row["vec_id"])
         block.append(row["v"])
-        if len(ids) == query_block:
+        components += len(row["v"])
+        if len(ids) == query_block or components >= BLOCK_COMPONENTS:
             search()
+            components = 0
     if ids:
         search()
     return done if done is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
