@@ -173,6 +173,17 @@ def greedy_commands(src: np.ndarray, above: np.ndarray, least: int = 1, most: in
     return bottom, steps
 
 
+def _ancestor(above: np.ndarray, distance: int) -> np.ndarray:
+    """The entry ``distance`` levels above each entry, len(above) for none, by doubled jumps."""
+    none = len(above)
+    jump, out = np.append(np.where(above < 0, none, above), none), np.arange(none + 1)
+    while distance:
+        if distance & 1:
+            out = jump[out]
+        jump, distance = jump[jump], distance >> 1
+    return out[:none]
+
+
 def candidate_commands(src: np.ndarray, dst: np.ndarray, above: np.ndarray, most: int = MAX_STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Bottom entries and steps of the plan by gain: disjoint chains of most saved bytes first, the rest singles.
 
@@ -196,33 +207,27 @@ def candidate_commands(src: np.ndarray, dst: np.ndarray, above: np.ndarray, most
     order = order[np.lexsort((dst[order], -depth[order], -gain[order], root[order]))]
     keep = np.ones(len(order), dtype=bool)
     keep[1:] = root[order][1:] != root[order][:-1]
-    chosen = {int(b): int(depth[b]) for b in order[keep]}
-    for r in capped:
-        options = []
-        for b in range(edges[r], edges[r + 1]):
-            steps, at, total = 0, above[b], 0
-            while at >= 0 and steps < most:
-                total += int(single[at])
-                steps, at = steps + 1, above[at]
-            if steps and total - int(vbyte.lengths(np.array([steps]))[0]) > 0:
-                options.append((-(total - int(vbyte.lengths(np.array([steps]))[0])), -steps, int(dst[b]), b))
-        taken: set[int] = set()
-        for _, steps, _, b in sorted(options):
-            path, at = [b], above[b]
-            for _ in range(-steps):
-                path.append(at)
-                at = above[at]
-            if taken.isdisjoint(path):
-                taken.update(path)
-                chosen[b] = -steps
-    covered = np.zeros(n, dtype=bool)
-    for b, steps in chosen.items():
-        at = b
-        for _ in range(steps + 1):
-            covered[at] = True
-            at = above[at]
-    bottoms = np.flatnonzero(~covered | np.isin(np.arange(n), list(chosen)))
-    return bottoms, np.array([chosen.get(int(b), 0) for b in bottoms], np.int64)
+    bottom_steps, covered = np.full(n, -1, np.int64), np.zeros(n, dtype=bool)
+    bottom_steps[order[keep]] = depth[order[keep]]
+    covered[order[keep]] = True
+    for entries in reversed(levels[1:]):  # a chain covers everything above its bottom
+        covered[above[entries[covered[entries]]]] = True
+    if len(capped):
+        saved_far = np.append(saved, 0)[_ancestor(above, most)]
+        steps, gain = np.minimum(depth, most), saved - saved_far - vbyte.lengths(np.minimum(depth, most))
+        for r in capped:
+            own = np.arange(edges[r], edges[r + 1])
+            own = own[(steps[own] > 0) & (gain[own] > 0)]
+            for bottom in own[np.lexsort((dst[own], -steps[own], -gain[own]))].tolist():
+                path, at = [], bottom
+                while len(path) <= steps[bottom] and not covered[at]:
+                    path.append(at)
+                    at = above[at]
+                if len(path) > steps[bottom]:
+                    covered[path] = True
+                    bottom_steps[bottom] = steps[bottom]
+    bottoms = np.flatnonzero(~covered | (bottom_steps >= 0))
+    return bottoms, np.maximum(bottom_steps[bottoms], 0)
 
 
 def _cost(bottom: np.ndarray, steps: np.ndarray) -> np.ndarray:
