@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -13,6 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 
 
+def _own_folder(prefix: str) -> str:
+    """A folder of this driver process, removed when it ends."""
+    path = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per application.
 
@@ -22,7 +31,7 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    archive = os.path.join(tempfile.mkdtemp(prefix="arborweave-"), "arborweave.zip")
+    archive = os.path.join(_own_folder("arborweave-"), "arborweave.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
         for path in sorted(root.rglob("*.py")):
             out.write(path, str(path.relative_to(root.parent)))
@@ -40,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named.rstrip("/")
     if current is None:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="arborweave-checkpoint-"))
+        context.setCheckpointDir("file://" + _own_folder("arborweave-checkpoint-"))
         current = context.getCheckpointDir()
     return str(current).rstrip("/")
 
