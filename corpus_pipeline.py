@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborweave.llm import mixing, packing, quality, queries, secrets, simhash
+from arborweave.llm import mixing, nearcopies, packing, quality, queries, secrets
 from arborweave.session import table
 
 
@@ -14,8 +14,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return nearcopies.deduplicated(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
