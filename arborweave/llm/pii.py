@@ -4,7 +4,7 @@ Validated numbers and dates are permuted within their format by a keyed Feistel
 pair (a, b) of residues, and rounds add to one residue a keyed hash (SHA-256) of the other. Each round can be undone, so
 the whole is a permutation of the format's values: equal values get equal pseudonyms in every document, and different values different ones.
 
-- ``card``: 13 to 19 digits that pass the check-digit test; all but the last are permuted, the check digit is set anew; separators stay;
+- ``card``: 13 to 19 digits that pass the check-digit test, also beside other digits, in whole groups; all but the last are permuted, the check digit is set anew; separators stay;
 - ``ssn``: 3-2-4 digits with valid groups; ``phone``: with a country code (kept) or in area-code form; the other digits are permuted;
 - ``ip``: four octets up to 255, permuted as a 32-bit number;
 - ``date``: real days of 1800 to 2199, permuted as days of that 400-year cycle (146,097 = 189 * 773 days);
@@ -24,10 +24,14 @@ KEY = "arborweave-default-key"
 ROUNDS = 8
 EMAIL = r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IP = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"
-CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)"
 SSN = r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w]|[.-]\d)"
 DATE = r"(?<![\w./-])(?:(?:18|19|20|21)\d\d([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2(?:18|19|20|21)\d\d)(?![\w]|[./-]\d)"
 PHONE = r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]|[.-]\d)"
+#: Ends a group of digits: neither a word, a decimal nor an e-mail address goes on.
+_ENDS = r"(?!\w|\.\d|[\p{L}\p{N}._%+-]*+@)"
+#: A whole run of digit groups, 13 digits at least; it ends before a date, a social security or a phone number. Cards are looked for inside.
+CARD = rf"(?<![\w.-])(?=\d(?:[ -]?\d){{12}})\d++{_ENDS}(?:(?:-| (?!{DATE.replace(chr(92) + '1', chr(92) + '3').replace(chr(92) + '2', chr(92) + '4')}|{SSN}|{PHONE}))\d++{_ENDS})*+"
+CARD_DIGITS = (13, 19)
 DAYS, DAY_MODULI = 146_097, (189, 773)
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
 
@@ -106,6 +110,49 @@ def _card(m: Column, key: str) -> Column:
     return _let(_digits(m), lambda d: F.when((luhn_sum(d) == 0) & ~d.rlike("^0+$"), swap(d)).otherwise(m))
 
 
+def _is_card(digits: Column) -> Column:
+    return F.length(digits).between(*CARD_DIGITS) & ~digits.rlike("^0+$") & (luhn_sum(digits) == 0)
+
+
+def _card_run(m: Column, key: str) -> Column:
+    """Text and number of cards (text, n) of a run of digit groups.
+
+    A run that is a card in whole is one. Else all stretches of whole groups that pass the test are cards, those in a usual
+    grouping first, then longer ones, then by place; stretches that overlap a chosen one are left.
+    """
+    tokens = F.regexp_extract_all(m, F.lit("[0-9]+|[ -]"), F.lit(0))  # groups at even places from 0, separators between
+    span = "struct<a:int,b:int>"
+
+    def inside(t: Column) -> Column:
+        def text(a: Column, b: Column) -> Column:
+            return F.array_join(F.slice(t, a + 1, b - a), "")
+
+        def stretch(a: Column, b: Column) -> Column:
+            grouped = text(a, b)
+            usual = grouped.rlike(r"^(?:\d+|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5})$")
+            digits = _digits(grouped)
+            return F.struct(F.when(usual, 0).otherwise(1).alias("rank"), (-F.length(digits)).alias("size"), a.alias("a"), b.alias("b"), digits.alias("digits"))
+
+        last = F.size(t) - 1
+        starts = F.filter(F.sequence(F.lit(0), last), lambda a: a % 2 == 0)
+        all_of = F.flatten(F.transform(starts, lambda a: F.transform(F.filter(F.sequence(a, F.least(a + 2 * (CARD_DIGITS[1] - 1), last)), lambda b: b % 2 == 0), lambda b: stretch(a, b + 1))))
+        sound = F.array_sort(F.filter(all_of, lambda s: _is_card(s["digits"])))
+
+        def choose(chosen: Column, s: Column) -> Column:
+            taken = F.exists(chosen, lambda c: (c["a"] < s["b"]) & (s["a"] < c["b"]))
+            return F.when(taken, chosen).otherwise(F.concat(chosen, F.array(F.struct(s["a"].alias("a"), s["b"].alias("b")))))
+
+        chosen = F.array_sort(F.aggregate(sound, F.array().cast(f"array<{span}>"), choose))
+
+        def write(acc: Column, c: Column) -> Column:
+            return F.struct(c["b"].alias("at"), F.concat(acc["out"], text(acc["at"], c["a"]), _card(text(c["a"], c["b"]), key)).alias("out"))
+
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        return _let(chosen, lambda cs: F.struct(F.aggregate(cs, start, write, lambda acc: F.concat(acc["out"], text(acc["at"], F.size(t)))).alias("text"), F.size(cs).alias("n")))
+
+    return F.when(_is_card(_digits(m)), F.struct(_card(m, key).alias("text"), F.lit(1).alias("n"))).otherwise(_let(tokens, inside))
+
+
 def _plain(m: Column, key: str, kind: str, kept: str) -> Column:
     """Digits permuted, but for a prefix."""
     prefix = F.regexp_extract(m, kept, 0)
@@ -169,40 +216,33 @@ def _email(m: Column, key: str) -> Column:
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """The replacement of one match, by the first kind that it is of in whole."""
-    return (
-        F.when(m.contains("@"), _email(m, key))
-        .when(m.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), _ip(m, key))
-        .when(m.rlike(f"^(?:{DATE})$"), _date(m, key))
-        .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), _ssn(m, key))
-        .when(m.rlike(r"^\d(?:[ -]?\d){12,18}$"), _card(m, key))
-        .otherwise(_plain(m, key, "phone", r"^(?:\+\d{1,3}(?=[ .(-]))?"))
-    )
+    """Kind, text and number of replaced values (kind, text, n) of one match, by the first kind that it is of in whole."""
 
+    def one(kind: str, text: Column) -> Column:
+        return _let(text, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text"), (x != m).cast("int").alias("n")))
 
-def kind_of(m: Column) -> Column:
     return (
-        F.when(m.contains("@"), "email")
-        .when(m.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), "ip")
-        .when(m.rlike(f"^(?:{DATE})$"), "date")
-        .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(m.rlike(r"^\d(?:[ -]?\d){12,18}$"), "card")
-        .otherwise("phone")
+        F.when(m.contains("@"), one("email", _email(m, key)))
+        .when(m.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), one("ip", _ip(m, key)))
+        .when(m.rlike(f"^(?:{DATE})$"), one("date", _date(m, key)))
+        .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), one("ssn", _ssn(m, key)))
+        .when(m.rlike(r"^\d[0-9 -]*$") & ~m.rlike(r"^\d{3}-\d{3}-\d{4}$"), _let(_card_run(m, key), lambda x: F.struct(F.lit("card").alias("kind"), x["text"].alias("text"), x["n"].alias("n"))))
+        .otherwise(one("phone", _plain(m, key, "phone", r"^(?:\+\d{1,3}(?=[ .(-]))?")))
     )
 
 
 #: Groups of the date pattern are numbered within it, so it comes first in the whole.
-PATTERN = f"{DATE}|{EMAIL}|{IP}|{SSN}|{CARD}|{PHONE}"
+PATTERN = f"{DATE}|{EMAIL}|{IP}|{SSN}|{PHONE}|{CARD}"
 
 
 def pseudonymized(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """All columns of ``docs``, text with pseudonyms, and ``__pii``: array of (kind, changed) per match."""
+    """All columns of ``docs``, text with pseudonyms, and ``__pii``: array of (kind, n: values replaced) per match."""
     text = F.col("text")
     found = docs.withColumn("__found", F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")))
     found = found.withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key)))
-    parts = F.zip_with(F.split(text, PATTERN, -1), F.col("__new"), lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
+    parts = F.zip_with(F.split(text, PATTERN, -1), F.col("__new"), lambda g, m: F.concat(g, F.coalesce(m["text"], F.lit(""))))
     replaced = F.when(F.size("__found") > 0, F.array_join(parts, "")).otherwise(text)
-    marks = F.zip_with("__found", "__new", lambda a, b: F.struct(kind_of(a).alias("kind"), (a != b).alias("changed")))
+    marks = F.transform("__new", lambda x: F.struct(x["kind"].alias("kind"), x["n"].alias("n")))
     return found.withColumn("__pii", marks).select(*[replaced.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "__pii")
 
 
@@ -211,6 +251,6 @@ def pseudonyms(docs: DataFrame, key: str = KEY) -> DataFrame:
     out = pseudonymized(docs.select(F.col("doc_id").cast("long"), "text"), key)
 
     def count(kind: str) -> Column:
-        return F.size(F.filter("__pii", lambda p: (p["kind"] == kind) & p["changed"])).cast("long").alias(f"n_{kind}")
+        return F.aggregate("__pii", F.lit(0), lambda n, p: n + F.when(p["kind"] == kind, p["n"]).otherwise(0)).cast("long").alias(f"n_{kind}")
 
     return out.select("doc_id", "text", *[count(k) for k in KINDS])

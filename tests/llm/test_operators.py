@@ -344,6 +344,22 @@ def test_pseudonyms_link_and_leave(spark):
     assert masked(spark, clean) == clean
 
 
+def test_cards_beside_other_digits(spark):
+    number, spaced = "4111111111111111", "4111 1111 1111 1111"
+    for text in (f"{spaced} 12/27", f"{spaced} 12", f"{spaced} 123", f"{number} 123", f"ref 12 {spaced}", f"12 34 {spaced} 567 8 9", f"{spaced} 12a", f"{spaced} on 1", f"{spaced} 10.0.0.999"):
+        at = text.index("4111")
+        size = 16 if number in text else 19
+        (out,) = masked(spark, [text])
+        digits = out[at : at + size].replace(" ", "")
+        assert out[:at] == text[:at] and out[at + size :] == text[at + size :]
+        assert digits != number and len(digits) == 16 and plain.luhn(digits), text
+    mixed = [f"415-555-2671 {spaced}", f"{spaced} 415-555-2671", f"{spaced} 03/05/1999", f"{spaced} 5500 0000 0000 0004 77", "12345678 123456@mail.example.com", " ".join(["7"] * 20_000)]
+    df = spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string")
+    rows = [r.asDict() for r in pii.pseudonyms(df, "k").orderBy("doc_id").collect()]
+    assert [(r["n_card"], r["n_phone"], r["n_date"], r["n_email"]) for r in rows[:5]] == [(1, 1, 0, 0), (1, 1, 0, 0), (1, 0, 1, 0), (2, 0, 0, 0), (0, 0, 0, 1)]
+    assert not any(spaced in r["text"] or "415-555-2671" in r["text"] for r in rows) and len(rows[5]["text"]) == len(mixed[5])
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     out = df.select("d", pii.permuted_digits(F.col("d"), "k", F.lit("t")).alias("e")).withColumn("back", pii.permuted_digits(F.col("e"), "k", F.lit("t"), inverse=True))
