@@ -7,7 +7,7 @@ the whole is a permutation of the format's values: equal values get equal pseudo
 - ``card``: 13 to 19 digits that pass the check-digit test, also beside other digits, in whole groups; all but the last are permuted, the check digit is set anew; separators stay;
 - ``ssn``: 3-2-4 digits with valid groups; ``phone``: with a country code (kept) or in area-code form; the other digits are permuted;
 - ``ip``: four octets up to 255, permuted as a 32-bit number;
-- ``date``: real days of 1800 to 2199, permuted as days of that 400-year cycle (146,097 = 189 * 773 days);
+- ``date``: real days of 1800 to 2199 (year first, day first, or month first where that alone is a day; also before a time of day), permuted as days of that 400-year cycle (146,097 = 189 * 773 days);
 - ``email``: no number; the local part's letters and digits are replaced by keyed hash values of the same kind, the domain stays.
 
 One pattern finds all kinds in one pass, leftmost first. Matches that fail their validation stay as they are.
@@ -25,7 +25,7 @@ ROUNDS = 8
 EMAIL = r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IP = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"
 SSN = r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w]|[.-]\d)"
-DATE = r"(?<![\w./-])(?:(?:18|19|20|21)\d\d([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2(?:18|19|20|21)\d\d)(?![\w]|[./-]\d)"
+DATE = r"(?<![\w./-])(?:(?:18|19|20|21)\d\d([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2(?:18|19|20|21)\d\d)(?!(?![Tt]\d\d:?\d\d)\w|[./-]\d)"
 PHONE = r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]|[.-]\d)"
 #: Ends a group of digits: neither a word, a decimal nor an e-mail address goes on.
 _ENDS = r"(?!\w|\.\d|[\p{L}\p{N}._%+-]*+@)"
@@ -33,6 +33,8 @@ _ENDS = r"(?!\w|\.\d|[\p{L}\p{N}._%+-]*+@)"
 CARD = rf"(?<![\w.-])(?=\d(?:[ -]?\d){{12}})\d++{_ENDS}(?:(?:-| (?!{DATE.replace(chr(92) + '1', chr(92) + '3').replace(chr(92) + '2', chr(92) + '4')}|{SSN}|{PHONE}))\d++{_ENDS})*+"
 CARD_DIGITS = (13, 19)
 DAYS, DAY_MODULI = 146_097, (189, 773)
+#: A step lands on a day over 12 in six of ten cases, so the walk of a month-first date ends long before.
+MONTH_FIRST_STEPS = 64
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
 
 
@@ -175,30 +177,42 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """Year first, or day before month before year; single-digit days and months stay unpadded only if they were."""
+    """Year first, or year last with the day before the month, or after it where only that is a day.
+
+    Month-first texts are permuted among themselves (steps go on until the day is over 12 again), so none meets a day-first one.
+    Single-digit days and months stay unpadded only if they were.
+    """
     separator = F.regexp_extract(m, r"[-/.]", 0)
     year_first = m.rlike(r"^[0-9]{4}")
     parts = F.split(m, r"[-/.]", -1)
     padded = ~m.rlike(r"(?:^|[-/.])[0-9](?:[-/.]|$)")
 
-    def swap(p: Column) -> Column:
-        year, month, day = F.when(year_first, p[0]).otherwise(p[2]), p[1], F.when(year_first, p[2]).otherwise(p[0])
+    def number(year: Column, month: Column, day: Column) -> Column:
         iso = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-        number = F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit("1800-01-01").cast("date"))
+        n = F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit("1800-01-01").cast("date"))
+        return F.when((n >= 0) & (n < DAYS), n)
 
-        def back(n: Column) -> Column:
-            a, b = feistel(F.floor(n / DAY_MODULI[1]), n % DAY_MODULI[1], F.lit(DAY_MODULI[0]), F.lit(DAY_MODULI[1]), key, F.lit("date"))
-            day_number = _let(F.struct(a.alias("a"), b.alias("b")), lambda x: (x["a"] * DAY_MODULI[1] + x["b"]).cast("int"))
+    def of(n: Column) -> Column:
+        return F.date_add(F.lit("1800-01-01").cast("date"), n)
 
-            def written(d: Column) -> Column:
-                dd = F.when(padded, F.lpad(F.dayofmonth(d).cast("string"), 2, "0")).otherwise(F.dayofmonth(d).cast("string"))
-                mm = F.when(padded, F.lpad(F.month(d).cast("string"), 2, "0")).otherwise(F.month(d).cast("string"))
-                yy = F.lpad(F.year(d).cast("string"), 4, "0")
-                return F.when(year_first, F.concat(yy, separator, mm, separator, dd)).otherwise(F.concat(dd, separator, mm, separator, yy))
+    def permuted(n: Column) -> Column:
+        a, b = feistel(F.floor(n / DAY_MODULI[1]), n % DAY_MODULI[1], F.lit(DAY_MODULI[0]), F.lit(DAY_MODULI[1]), key, F.lit("date"))
+        return _let(F.struct(a.alias("a"), b.alias("b")), lambda x: (x["a"] * DAY_MODULI[1] + x["b"]).cast("int"))
 
-            return _let(F.date_add(F.lit("1800-01-01").cast("date"), day_number), written)
+    def walked(n: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(MONTH_FIRST_STEPS)), permuted(n), lambda x, _: F.when(F.dayofmonth(of(x)) > 12, x).otherwise(permuted(x)))
 
-        return _let(number, lambda n: F.when(n.isNull() | (n < 0) | (n >= DAYS), m).otherwise(back(n)))
+    def written(d: Column, month_first: Column) -> Column:
+        dd = F.when(padded, F.lpad(F.dayofmonth(d).cast("string"), 2, "0")).otherwise(F.dayofmonth(d).cast("string"))
+        mm = F.when(padded, F.lpad(F.month(d).cast("string"), 2, "0")).otherwise(F.month(d).cast("string"))
+        yy = F.lpad(F.year(d).cast("string"), 4, "0")
+        return F.when(year_first, F.concat(yy, separator, mm, separator, dd)).when(month_first, F.concat(mm, separator, dd, separator, yy)).otherwise(F.concat(dd, separator, mm, separator, yy))
+
+    def swap(p: Column) -> Column:
+        usual = number(F.when(year_first, p[0]).otherwise(p[2]), p[1], F.when(year_first, p[2]).otherwise(p[0]))
+        other = F.when(~year_first, number(p[2], p[0], p[1]))
+        both = F.struct(usual.alias("usual"), other.alias("other"))
+        return _let(both, lambda n: F.when(n["usual"].isNotNull(), _let(permuted(n["usual"]), lambda x: written(of(x), F.lit(False)))).when(n["other"].isNotNull(), _let(walked(n["other"]), lambda x: written(of(x), F.lit(True)))).otherwise(m))
 
     return _let(parts, swap)
 

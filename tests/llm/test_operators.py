@@ -360,6 +360,19 @@ def test_cards_beside_other_digits(spark):
     assert not any(spaced in r["text"] or "415-555-2671" in r["text"] for r in rows) and len(rows[5]["text"]) == len(mixed[5])
 
 
+def test_month_first_dates_and_timestamps(spark):
+    from datetime import date, datetime, timedelta
+
+    days = [d for i in range(1500) if (d := date(1999, 1, 1) + timedelta(i)).day > 12]
+    out = masked(spark, [f"{d:%m/%d/%Y}" for d in days])
+    back = [datetime.strptime(x, "%m/%d/%Y").date() for x in out]  # same order
+    assert all(b.day > 12 for b in back) and len(set(out)) == len(days) and sum(a == b for a, b in zip(days, back)) <= 1
+    stamp, short, iso, day, none = masked(spark, ["at 2024-03-05T10:00:00Z.", "on 12/31/1999, ok", "2024-03-05", "03/05/1999", "13/32/1999 and 2024-03-05Time and 2024-13-05T10:00"])
+    assert stamp == f"at {iso}T10:00:00Z." and iso != "2024-03-05" and day != "03/05/1999"
+    assert short != "on 12/31/1999, ok" and short.endswith(", ok")
+    assert none == "13/32/1999 and 2024-03-05Time and 2024-13-05T10:00"
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     out = df.select("d", pii.permuted_digits(F.col("d"), "k", F.lit("t")).alias("e")).withColumn("back", pii.permuted_digits(F.col("e"), "k", F.lit("t"), inverse=True))
