@@ -9,7 +9,8 @@ strings. The entropy kind takes candidate strings of 20 characters or more, by c
 The entropy of a window is log2(w) - sum(c * log2 c) / w over its character counts. Sliding by one character
 changes two counts, so the sum is carried on by the two differences. A candidate's entropy is that of
 its best window. Suppressed (the allow list): strings of digits only, UUIDs, words joined by single separators, paths of
-such words, marked examples and placeholders, alphabet and digit runs, and anything that overlaps a base span.
+such words, marked examples and placeholders, alphabet and digit runs. Base spans are cut out of a candidate, and each remaining
+part of 20 characters or more is measured by itself; so nothing overlaps a base span.
 
 Positions come from the texts between matches: split by the pattern, sum up the lengths.
 
@@ -30,7 +31,7 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}+"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
-MIN_VALUE = 6
+MIN_VALUE, MIN_CANDIDATE = 6, 20
 CLASSES = {"hex": (32, 3.0), "mixed": (20, 3.8)}
 ALLOWED = (
     r"^[0-9_=+/-]+$",
@@ -102,6 +103,21 @@ def _high_entropy(candidate: Column) -> Column:
     return F.when(allowed, F.lit(False)).otherwise(enough)
 
 
+def _outside(span: Column, cuts: Column) -> Column:
+    """Parts of ``span`` that the cuts (sorted spans that overlap it) leave, of a candidate's length or more."""
+
+    def part(start: Column, end: Column) -> Column:
+        one = F.array(F.struct(start.alias("start"), span["kind_no"].alias("kind_no"), end.alias("end"), span["kind"].alias("kind")))
+        return F.when(end - start >= MIN_CANDIDATE, one).otherwise(F.array().cast(f"array<{_SPAN}>"))
+
+    def step(acc: Column, c: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], c["end"]).alias("at"), F.concat(acc["out"], part(acc["at"], c["start"])).alias("out"))
+
+    start = F.struct(span["start"].alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    left = F.aggregate(cuts, start, step, lambda acc: F.concat(acc["out"], part(acc["at"], span["end"])))
+    return F.when(F.size(cuts) > 0, left).otherwise(F.array(span))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` and ``__secrets``: all spans in order of start, kind (array of start, kind_no, end, kind)."""
     text = F.col("__text")
@@ -110,13 +126,14 @@ def scan(docs: DataFrame) -> DataFrame:
     found = found.withColumns({f"__m_{k}": F.regexp_extract_all(text, F.lit(p), F.lit(0)) for k, p in patterns.items()})
     # Values are looked at only in the few matches, not in the texts again.
     assigned = F.transform("__m_assign", lambda m: F.length(F.regexp_extract(m, "^" + ASSIGN, 2)) >= MIN_VALUE)
-    keeps = {"assign": assigned, "access": F.transform("__m_access", lambda m: F.lit(True)), "hex": F.transform("__m_hex", lambda m: F.lit(True)), "entropy": F.transform("__m_entropy", _high_entropy)}
+    keeps = {"assign": assigned, "access": F.transform("__m_access", lambda m: F.lit(True)), "hex": F.transform("__m_hex", lambda m: F.lit(True)), "entropy": F.transform("__m_entropy", lambda m: F.lit(True))}
     found = found.withColumns({f"__k_{k}": v for k, v in keeps.items()})
     found = found.withColumns({f"__s_{k}": _spans(text, patterns[k], k, F.col(f"__m_{k}"), F.col(f"__k_{k}")) for k in KINDS})
-    base = F.concat("__s_assign", "__s_access", "__s_hex")
-    added = F.filter("__s_entropy", lambda e: ~F.exists(F.concat("__s_assign", "__s_access", "__s_hex"), lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    found = found.withColumn("__secrets", F.array_sort(F.concat(base, added)))
-    return found.drop("__text", *[f"__{x}_{k}" for x in "mks" for k in KINDS])
+    found = found.withColumn("__base", F.array_sort(F.concat("__s_assign", "__s_access", "__s_hex")))
+    parts = F.flatten(F.transform("__s_entropy", lambda e: _outside(e, F.filter("__base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))))
+    added = F.filter(parts, lambda p: _high_entropy(F.substring(text, p["start"] + 1, p["end"] - p["start"])))
+    found = found.withColumn("__secrets", F.array_sort(F.concat("__base", added)))
+    return found.drop("__text", "__base", *[f"__{x}_{k}" for x in "mks" for k in KINDS])
 
 
 def _joined(spans: Column) -> Column:
