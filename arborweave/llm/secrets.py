@@ -4,7 +4,9 @@ Base kinds are patterns: assignments of a password, token or key; access key ids
 strings. The entropy kind takes candidate strings of 20 characters or more, by character class:
 
 - ``hex``: hexadecimal digits of either case, 32 or more; window 32, at least 3.0 bits a character;
-- ``mixed``: letters, digits and +/_=-, with lower and upper case and a digit; window 20, at least 3.8 bits.
+- ``mixed``: letters, digits and +/_=-, with lower and upper case and a digit; window 20, at least 3.8 bits;
+- ``lower``, ``upper``: as mixed, with letters of that case alone and a digit; window 20, at least 3.7 bits;
+- ``letters``: as mixed, without a digit; window 20, at least 3.9 bits.
 
 The entropy of a window is log2(w) - sum(c * log2 c) / w over its character counts. Sliding by one character
 changes two counts, so the sum is carried on by the two differences. A candidate's entropy is that of
@@ -32,7 +34,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}+"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 MIN_VALUE, MIN_CANDIDATE = 6, 20
-CLASSES = {"hex": (32, 3.0), "mixed": (20, 3.8)}
+CLASSES = {"hex": (32, 3.0), "mixed": (20, 3.8), "lower": (20, 3.7), "upper": (20, 3.7), "letters": (20, 3.9)}
 ALLOWED = (
     r"^[0-9_=+/-]+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
@@ -40,6 +42,8 @@ ALLOWED = (
     r"(?i)example|placeholder|your[_-]?(?:key|token|secret)|changeme|xxxx|dummy",
     r"(?i)abcdefgh|01234567|(.)\1{7}",
 )
+#: For the classes without all of digits and both cases: words, also in camel case or numbered, and their paths.
+ALLOWED_WORDS = r"^[/_=+-]*+(?:(?=[A-Za-z0-9])(?:[a-z]*+(?:[A-Z][a-z]{2,})*+[0-9]{0,4}|[A-Z]++[0-9]{0,4}|[0-9]++)(?![A-Za-z0-9])[/_=+-]*+)*+$"
 MASK = "[SECRET]"
 
 _SPAN = "struct<start:int,kind_no:int,end:int,kind:string>"
@@ -96,10 +100,13 @@ def _high_entropy(candidate: Column) -> Column:
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | candidate.rlike(pattern)
-    is_hex = candidate.rlike("^[0-9a-fA-F]+$")
-    is_mixed = candidate.rlike("[0-9]") & candidate.rlike("[a-z]") & candidate.rlike("[A-Z]")
-    (hex_window, hex_bits), (mixed_window, mixed_bits) = CLASSES["hex"], CLASSES["mixed"]
-    enough = F.when(is_hex, F.coalesce(window_entropy(candidate, hex_window) >= hex_bits, F.lit(False))).when(is_mixed, F.coalesce(window_entropy(candidate, mixed_window) >= mixed_bits, F.lit(False))).otherwise(F.lit(False))
+    digit, lower, upper = (candidate.rlike(c) for c in ("[0-9]", "[a-z]", "[A-Z]"))
+    of_class = {"hex": candidate.rlike("^[0-9a-fA-F]+$"), "mixed": digit & lower & upper, "lower": digit & lower, "upper": digit & upper, "letters": ~digit & (lower | upper)}
+    enough = F.when(F.lit(False), F.lit(False))
+    for name, (window, bits) in CLASSES.items():  # the first class that holds
+        high = F.coalesce(window_entropy(candidate, window) >= bits, F.lit(False))
+        enough = enough.when(of_class[name], high if name in ("hex", "mixed") else high & ~candidate.rlike(ALLOWED_WORDS))
+    enough = enough.otherwise(F.lit(False))
     return F.when(allowed, F.lit(False)).otherwise(enough)
 
 

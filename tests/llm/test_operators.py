@@ -264,6 +264,20 @@ def test_entropy_beside_base_spans(spark):
     assert secrets.redacted(df).first()["text"] == "id [SECRET][SECRET] end"
 
 
+def test_entropy_of_every_class(spark):
+    one_case = ["JBSWY3DPEHPK3PXPQ2LDZ7XNMV4TGA6R", "q8z3v1n7x5w2k9t4r6y0p3m8b1c7d5g2h4j6l9s0", "zQvTbXkWmRpLhYcNfJgSdAeUiOqZ"]
+    assert spans_of(spark, [f"see {t} here" for t in one_case]) == [f"entropy:4:{4 + len(t)}" for t in one_case]
+    words = ["getUserAccountBalanceFromDatabase", "docs/guide-v2/chapter12/figures-part3", "SOME_LONG_CONSTANT_NAME_V2", "quick-brown-fox-jumps-over-lazy-dog", "thequickbrownfoxjumpsoverthelazydog", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "JustSomeVeryLongTitleWithQuickFoxJumpsBody"]
+    odd = one_case[1] + "-12" * 200 + "-" * 60 + "aBc" * 2000
+    assert len(spans_of(spark, [odd])) == 1  # no long walk in the patterns
+    assert spans_of(spark, [f"see {t} here" for t in words]) == [""] * len(words)
+    r = random.Random(21)
+    for letters, least in (("abcdefghijklmnopqrstuvwxyz0123456789", 95), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 95), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 95)):
+        keys = ["".join(r.choice(letters) for _ in range(32)) for _ in range(100)]
+        found = sum(x == "entropy:0:32" for x in spans_of(spark, keys))
+        assert found >= least, (letters, found)
+
+
 def test_window_entropy(spark):
     r = random.Random(11)
     texts = ["".join(r.choice("abcdeF01+") for _ in range(r.randint(8, 60))) for _ in range(60)]
