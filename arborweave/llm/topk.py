@@ -16,6 +16,8 @@ partial sum is certain to be an exact integer in it, else in 64-bit integers.
 Edge cases: vectors that are null, hold null or non-finite components, or whose length differs from the first
 query's of the block take no part; ties go to the smaller id; rows with null id take no part; with fewer than k candidates
 all are returned; a row isn't a candidate for queries of its own id, repeats of the id included;
+a query id with several different vectors is searched with each of them, and its k best (vec_id, score) pairs are ranked together;
+equal pairs count once, be they from repeated rows or from several vectors;
 an empty table gives no rows.
 """
 
@@ -156,10 +158,9 @@ def search_block(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int,
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     gathered = rows.mapInArrow(gather, SCHEMA).distinct()
     cutoffs = gathered.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") == k).select("query_id", "score").collect()  # one row per query of the block
-    place = {q: i for i, q in enumerate(ids.tolist())}
     low = np.full(len(ids), -np.inf)  # fewer than k candidates: everything is sufficient
     for r in cutoffs:
-        low[place[r["query_id"]]] = r["score"]
+        low[ids == r["query_id"]] = r["score"]  # of all vectors of the id: their pairs are ranked together
     cutoff = spark.sparkContext.broadcast(low)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +175,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 2
     spark = vectors.sparkSession
     ship(spark)
     rows = integer_vectors(vectors, scale)
-    queries = rows.filter(is_query).dropDuplicates(["vec_id"])
+    queries = rows.filter(is_query).dropDuplicates(["vec_id", "v"])
     done: DataFrame | None = None
     ids: list[int] = []
     block: list[list[int]] = []
@@ -199,4 +200,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 2
             components = 0
     if ids:
         search()
-    return done if done is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if done is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    # The vectors of one id may be in several blocks; a block has k rows for an id at most.
+    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return done.select("query_id", "vec_id", "score").distinct().withColumn("rank", F.row_number().over(ranked).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

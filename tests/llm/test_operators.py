@@ -160,6 +160,20 @@ def test_top_k_of_odd_vectors(spark):
     assert got == plain.top_k(rows)
 
 
+def test_top_k_of_an_id_with_several_vectors(spark):
+    r = random.Random(18)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(6)]) for i in range(1, 200)]
+    rows += [(50 * (i % 4), [r.uniform(-1, 1) for _ in range(6)]) for i in range(12)]
+    sound = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    want = []
+    for q in (0, 50, 100, 150):
+        pairs = sorted({(-sum(x * y for x, y in zip(a, b)), i) for j, a in sound if j == q for i, b in sound if i != q})
+        want += [(q, n, i, -score) for n, (score, i) in enumerate(pairs[:5], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for block in (3, 8192):
+        assert sorted(tuple(x) for x in topk.exact_top_k(df, F.col("vec_id") % 50 == 0, query_block=block).collect()) == want
+
+
 def test_top_k_of_large_components(spark):
     """Sums beyond single and double precision stay exact, as long as they fit 64 bits."""
     for scale in (1.0, 1e2, 1e3):
