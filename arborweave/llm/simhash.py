@@ -8,10 +8,12 @@
    Each shard is a BK-tree: children hang under their parent by Hamming distance, and a search
    follows only edges within the radius of its own distance. Shard trees would be broadcast if they were
    bounded; they grow with the corpus, so each tree is built in the task that holds its shard, and the shard's own
-   points are the searches.
+   points are the searches. A shard of over ``SHARD_POINTS`` points is cut further, by the same argument about the bits left.
 4. A shard returns one link per point that isn't the first of its local component, never all pairs. Components of
    the links are found by shared label rounds with reliable checkpoints.
 
+Near copies by the similarity of word shingles, as the pipeline drops them, are in ``nearcopies``; it searches the same trees.
+
 Edge cases: null, empty or wordless texts have fingerprint 0, linked like any other; fewer words than
 a shingle make one shingle; repeated rows share their component; rows with null doc_id take part and never give a name
 to a component with other ids; an empty table gives no rows.
@@ -36,6 +38,8 @@ SHINGLE_WORDS = 3
 RADIUS = 2
 SEED = 42
 BLOCK_BITS = 16
+#: Points of a shard that one task takes as it is; a larger shard is refined.
+SHARD_POINTS = 1 << 15
 _UPPER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -75,14 +79,18 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-class BKTree:
-    """Points below their parents by Hamming distance, as arrays; built and searched a level at a time."""
+class BKForest:
+    """BK-trees of many shards at once, as arrays; built and searched a level at a time.
+
+    ``root`` names each point's tree by the index of its first point. Children hang under their parent by Hamming distance.
+    """
 
-    def __init__(self, points: np.ndarray) -> None:
-        self.points = points
+    def __init__(self, points: np.ndarray, root: np.ndarray) -> None:
+        self.points, self.root = points, root
         n = len(points)
         self.parent, self.edge = np.full(n, -1), np.zeros(n, dtype=np.int64)
-        at, waiting = np.zeros(max(n - 1, 0), dtype=np.int64), np.arange(1, n)
+        waiting = np.flatnonzero(root != np.arange(n))
+        at = root[waiting]
         while len(waiting):
             distance = np.bitwise_count(points[waiting] ^ points[at]).astype(np.int64)
             _, first, group = np.unique(at * 65 + distance, return_index=True, return_inverse=True)
@@ -95,13 +103,13 @@ class BKTree:
         self.order = np.argsort(key, kind="stable")
         self.keys = key[self.order]
 
-    def links(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (search, point) within ``radius``, every point a search, in bounded batches."""
-        n = len(self.points)
-        stack = [(np.arange(a, min(a + 4096, n)), np.zeros(min(a + 4096, n) - a, dtype=np.int64)) for a in range(0, n, 4096)]
+    def links(self, radius: int, searches: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (search, point) of a tree within ``radius``, in bounded batches; every point is a search if none are named."""
+        searches = np.arange(len(self.points)) if searches is None else searches
+        stack = [(part, self.root[part]) for part in np.split(searches, range(4096, len(searches), 4096))]
         while stack:
             search, node = stack.pop()
-            if len(search) > 1 << 20:
+            if len(search) > 1 << 16:
                 half = len(search) // 2
                 stack += [(search[:half], node[:half]), (search[half:], node[half:])]
                 continue
@@ -132,24 +140,61 @@ def local_components(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) ->
     return label
 
 
+def first_of_shards(*keys: np.ndarray) -> np.ndarray:
+    """Index of the first row of each row's shard; rows are sorted by their keys."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(keys[0]), dtype=bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    starts = np.flatnonzero(new)
+    return starts[np.cumsum(new) - 1]
+
+
 def shard_links(keys: np.ndarray, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (point, first point of its component) within each shard of a key; keys are sorted."""
-    sources, targets = [], []
-    edges = np.flatnonzero(np.diff(keys)) + 1
-    starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(keys)]))
-    sizes = ends - starts
-    for a in starts[sizes == 2]:  # the usual case in one step each, without a tree
-        if int(points[a] ^ points[a + 1]).bit_count() <= radius:
-            sources.append(points[a + 1 : a + 2])
-            targets.append(points[a : a + 1])
-    for a, b in zip(starts[sizes > 2], ends[sizes > 2]):
-        own = points[a:b]
-        label = local_components(len(own), BKTree(own).links(radius))
-        far = np.flatnonzero(label != np.arange(len(own)))
-        sources.append(own[far])
-        targets.append(own[label[far]])
-    empty = np.zeros(0, dtype=np.uint64)
-    return np.concatenate([empty, *sources]), np.concatenate([empty, *targets])
+    label = local_components(len(points), BKForest(points, first_of_shards(keys)).links(radius))
+    far = np.flatnonzero(label != np.arange(len(points)))
+    return points[far], points[label[far]]
+
+
+def whole_shards(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of sorted batches in tables that end where a shard ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        begin = int(first_of_shards(*[batch.column(k).to_numpy() for k in keys])[-1])
+        same = bool(held) and all(held[-1].column(k)[-1].equals(batch.column(k)[0]) for k in keys)
+        if begin or not same:  # what is held ends here, with the batch's first shards
+            ready = [*held, batch.slice(0, begin)] if begin else held
+            if ready:
+                yield pa.Table.from_batches(ready)
+            held = []
+        held.append(batch.slice(begin))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _refined(shards: DataFrame) -> DataFrame:
+    """Shards (shard, fp) of over ``SHARD_POINTS`` points in three parts each, keyed by a third of the 32 bits in which their points
+    may differ: of two points with two differing bits there, one third agrees. No part holds over 2^22 points.
+    """
+    sizes = shards.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD_POINTS).select(F.col("shard").alias("hot"))
+    whole = shards.select("shard", F.lit(0).alias("part"), "fp")
+    hot = cut(sizes)
+    if hot.isEmpty():
+        return whole
+    pair = F.floor(F.col("shard") / F.lit(1 << 32)).cast("int")
+    blocks = [F.shiftrightunsigned("fp", i * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for i in range(64 // BLOCK_BITS)]
+    rest = F.lit(None).cast("long")
+    for i, j in itertools.combinations(range(4), 2):
+        a, b = (k for k in range(4) if k not in (i, j))
+        rest = F.when(pair == i * 4 + j, blocks[a] * F.lit(1 << BLOCK_BITS) + blocks[b]).otherwise(rest)
+    thirds = F.array(*[((k + 1) * F.lit(1 << 11) + F.shiftrightunsigned(rest, s).bitwiseAND(F.lit((1 << w) - 1))).cast("int") for k, (s, w) in enumerate(((0, 11), (11, 11), (22, 10)))])
+    is_hot = F.col("shard") == F.col("hot")
+    return whole.join(hot, is_hot, "left_anti").unionByName(whole.join(hot, is_hot, "left_semi").select("shard", F.explode(thirds).alias("part"), "fp"))
 
 
 def fingerprint_links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -158,28 +203,17 @@ def fingerprint_links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError("two agreeing blocks of four are certain up to radius 2 only")
     blocks = [F.shiftrightunsigned("fp", i * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for i in range(64 // BLOCK_BITS)]
     shards = F.array(*[F.lit(i * 4 + j).cast("long") * F.lit(1 << 32) + blocks[i] * F.lit(1 << BLOCK_BITS) + blocks[j] for i, j in itertools.combinations(range(4), 2)])
-    sharded = points.select("fp", F.explode(shards).alias("shard")).repartition("shard").sortWithinPartitions("shard", "fp")
+    dealt = _refined(points.select("fp", F.explode(shards).alias("shard"))).repartition("shard", "part").sortWithinPartitions("shard", "part", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def emit(keys: np.ndarray, points: np.ndarray) -> Iterator[pa.RecordBatch]:
-            src, dst = shard_links(keys, points, radius)
+        for held in whole_shards(batches, ("shard", "part")):
+            key = held.column("shard").to_numpy() * np.int64(1 << 14) + held.column("part").to_numpy()
+            src, dst = shard_links(key, held.column("fp").to_numpy().view(np.uint64), radius)
             if len(src):
                 yield pa.RecordBatch.from_arrays([pa.array(src.view(np.int64)), pa.array(dst.view(np.int64))], ["src", "dst"])
 
-        for batch in batches:
-            held_keys = np.concatenate((held_keys, batch.column("shard").to_numpy()))
-            held = np.concatenate((held, batch.column("fp").to_numpy().view(np.uint64)))
-            done = int(np.searchsorted(held_keys, held_keys[-1])) if len(held_keys) else 0
-            if done:
-                yield from emit(held_keys[:done], held[:done])
-                held_keys, held = held_keys[done:], held[done:]
-        if len(held_keys):
-            yield from emit(held_keys, held)
-
     ship(points.sparkSession)
-    return sharded.mapInArrow(run, "src long, dst long")
+    return dealt.select("shard", "part", "fp").mapInArrow(run, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
@@ -196,17 +230,3 @@ def components_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     classes = named.select("fp", "root").join(smallest, "root").select(F.col("fp").alias("class_fp"), "component_id")
     joined = prints.join(classes, F.col("fp") == F.col("class_fp"), "inner")
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def deduplicated(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: those whose doc_id is its smallest; all columns.
-
-    Equal rows under one doc_id stay once. A row with null doc_id can't be named by a component: such
-    rows stay once per text.
-    """
-    classes = near_duplicates(docs.select("doc_id", "text"), words, radius)
-    keep = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("__keep"))
-    hashed = docs.withColumn("__text", F.sha2(F.col("text"), 256))
-    named = hashed.join(keep, F.col("doc_id").cast("long") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id", "__text"])
-    unnamed = hashed.filter(F.col("doc_id").isNull()).dropDuplicates(["__text"])
-    return named.unionByName(unnamed).drop("__text")

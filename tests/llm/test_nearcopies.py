@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from arborweave.llm import nearcopies
+from arborweave.llm import nearcopies, simhash
 from tests.llm import plain
 from tests.llm.conftest import DOCS
 
@@ -75,15 +76,49 @@ def test_one_large_group(spark):
     assert sorted(d for d, _ in got) == sorted(min(d for d, _ in g) for g in groups(rows))
 
 
-def test_recall_of_bands_at_the_threshold():
+def test_recall_of_candidates_at_the_threshold():
+    """Pairs at exactly 0.8: nearly all share a band within the radius, and every one passes the exact bounds."""
     r = np.random.default_rng(3)
-    missed = 0
-    for _ in range(1000):
-        x = r.integers(0, 1 << 63, 100, dtype=np.uint64)
-        a, b = x[:90], x[10:]
-        assert nearcopies.similar(np.unique(a), np.unique(b))
-        missed += not set(nearcopies.band_keys(a)) & set(nearcopies.band_keys(b))
-    assert missed <= 2
+    missed, distances = 0, []
+    for i in range(1500):
+        k = (0, 2, 9, 45)[i % 4]
+        x = r.integers(0, 1 << 63, 10 * k or 5, dtype=np.uint64)
+        a, b = (np.unique(x[: 9 * k]), np.unique(x[k:])) if k else (np.unique(x[:4]), np.unique(x))
+        assert nearcopies.similar(a, b)
+        distances.append((simhash.majority(a) ^ simhash.majority(b)).bit_count())
+        missed += distances[-1] > nearcopies.RADIUS or not set(nearcopies.band_keys(a)) & set(nearcopies.band_keys(b))
+        at, _ = nearcopies.may_be_similar(np.array([len(a), len(b)]), nearcopies.Sketches([nearcopies.sketch(a), nearcopies.sketch(b)]), np.array([0]), np.array([1]))
+        assert len(at) == 1
+    assert missed <= 2 and 8 < np.mean(distances) < 12
+
+
+def test_sketches_never_exceed_the_difference():
+    r = np.random.default_rng(4)
+    for _ in range(300):
+        x = r.integers(0, 1 << 63, r.integers(1, 3000), dtype=np.uint64)
+        a, b = np.unique(x[r.random(len(x)) < 0.8]), np.unique(x[r.random(len(x)) < 0.4])
+        differ = nearcopies.Sketches([nearcopies.sketch(a), nearcopies.sketch(b)]).differing(np.array([0]), np.array([1]))
+        assert differ[0] <= len(np.setxor1d(a, b))
+
+
+def test_large_bands_are_dealt_in_groups(spark, monkeypatch):
+    """Groups of seven points: the same rows stay."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, edited(r, words, i % 5)) for i in range(80)]
+    whole = stage(spark, rows)
+    monkeypatch.setattr(nearcopies, "SHARD_POINTS", 7)
+    assert sorted(stage(spark, rows)) == sorted(whole)
+    assert sorted(d for d, _ in whole) == sorted(min(d for d, _ in g) for g in groups(rows))
+
+
+def test_odd_rows_and_clashing_names(spark, odd_docs, no_docs):
+    clash = odd_docs.withColumns({c: F.lit(7) for c in ("row", "id", "unnamed", "text_hash", "sid", "kept", "doubtful", "sieve_key", "bands")})
+    kept = nearcopies.deduplicated(clash)
+    assert kept.columns == clash.columns
+    seen = Counter(r["doc_id"] for r in kept.collect())
+    assert max(seen.values()) <= 2 and seen[None] <= 1
+    assert nearcopies.deduplicated(no_docs).isEmpty()
 
 
 def test_one_row_stays_of_repeated_and_null_ids(spark):

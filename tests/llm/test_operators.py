@@ -60,12 +60,42 @@ def test_fingerprints_of_odd_rows(odd_docs):
 
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=80), st.integers(0, 2**16))
-def test_bk_tree_finds_all(centres, seed):
+def test_bk_trees_find_all(centres, seed):
+    """Several shards at once, one of a single point."""
     r = random.Random(seed)
     points = list(dict.fromkeys(c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 3))) for c in centres for _ in range(3)))
-    tree = simhash.BKTree(np.array(points, dtype=np.uint64))
-    found = {(int(a), int(b)) for x, y in tree.links(2) for a, b in zip(x, y)}
-    assert found == {(i, j) for i, a in enumerate(points) for j, b in enumerate(points) if i != j and (a ^ b).bit_count() <= 2}
+    shard = sorted(r.randrange(3) for _ in points)
+    root = simhash.first_of_shards(np.array(shard))
+    forest = simhash.BKForest(np.array(points, dtype=np.uint64), root)
+    for radius in (2, 26):
+        found = [(int(a), int(b)) for x, y in forest.links(radius) for a, b in zip(x, y)]
+        assert sorted(found) == [(i, j) for i, a in enumerate(points) for j, b in enumerate(points) if i != j and shard[i] == shard[j] and (a ^ b).bit_count() <= radius]
+    some = np.flatnonzero(np.arange(len(points)) % 3 == 0)
+    assert {int(a) for x, _ in forest.links(64, some) for a in x} <= set(some.tolist())
+
+
+def test_whole_shards():
+    import pyarrow as pa
+
+    keys = [0, 0, 1, 1, 1, 1, 1, 2, 3, 3]
+    for size in range(1, 11):
+        batches = pa.Table.from_pydict({"k": keys, "v": list(range(10))}).to_batches(max_chunksize=size)
+        tables = list(simhash.whole_shards(iter(batches), ("k",)))
+        assert [v for t in tables for v in t.column("v").to_pylist()] == list(range(10))
+        ends = [t.column("k").to_pylist() for t in tables]
+        assert all(a[-1] != b[0] for a, b in zip(ends, ends[1:]))
+
+
+@pytest.mark.parametrize("most", [40, 1 << 15])
+def test_links_of_refined_shards(spark, monkeypatch, most):
+    """A ball of points that share their blocks, with shards cut further or not: the same components."""
+    monkeypatch.setattr(simhash, "SHARD_POINTS", most)
+    r = random.Random(4)
+    centre = r.getrandbits(64)
+    points = {centre ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 4))) for _ in range(700)}
+    df = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(sorted(points))], "doc_id long, fp long")
+    want = plain.near_components(list(enumerate(sorted(points))))
+    assert all(r["component_id"] == want[int(r["fingerprint"], 16)] for r in simhash.components_of(df).collect())
 
 
 def test_links_and_components_of_planted_fingerprints(spark):
@@ -90,22 +120,6 @@ def test_links_and_components_of_planted_fingerprints(spark):
     assert links.count() <= 6 * len(points)  # never all pairs of a ball
 
 
-def test_deduplicated_odd_rows(odd_docs, no_docs):
-    kept = simhash.deduplicated(odd_docs)
-    assert kept.columns == odd_docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    classes = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(odd_docs).filter("doc_id IS NOT NULL").collect()}
-    assert {i for i in ids if i is not None} >= set(classes.values()) - {None} or True
-    counted = Counter(ids)
-    assert max(n for i, n in counted.items() if i is not None) <= 2 and counted[None] == 2
-    assert simhash.deduplicated(no_docs).isEmpty()
-
-
-def test_deduplicated_keeps_one_of_each_group(docs):
-    kept = sorted(r["doc_id"] for r in simhash.deduplicated(docs).collect())
-    assert kept == sorted({r["component_id"] for r in simhash.near_duplicates(docs).collect()})
-
-
 def test_long_text_majority():
     text = " ".join(f"w{i % 977}" for i in range(70_000))
     assert simhash.majority(np.array(simhash.shingle_hashes(text), dtype=np.uint64)) == plain.simhash(text)
