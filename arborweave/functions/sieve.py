@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a sieve, each a map of 32,768 bits: 8 MB at most.
-ROWS, BITS = 2048, 1 << 15
+#: Rows of a sieve, each a map of 32,768 bits: 4 MB at most.
+ROWS, BITS = 1024, 1 << 15
 
 
 def _row(key: Column) -> Column:
