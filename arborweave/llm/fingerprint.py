@@ -5,9 +5,12 @@ runs of one symbol become one symbol; deterministic coin tossing turns symbols i
 (twice the lowest bit in which a symbol differs from its left neighbour, plus that bit, three
 times over), neighbours staying different; phrases begin at the local minima of the labels. A boundary depends on a few
 neighbouring symbols only, so equal substrings are parsed alike in their interior at any
-offset. A phrase's name is a hash of its symbols in order. The fingerprint is a bottom-k
-sketch of the names of the upper levels; the share of common names in the sketch of the union
-estimates the likeness of two texts.
+offset. A phrase's name is a hash of its symbols in order. Levels go on until a text is one phrase.
+
+The fingerprint is a bottom-k sketch of the names of all levels, weighted by the phrase's length alone: a phrase of ``FULL`` code
+points or more counts in full, a shorter one, which many texts share, by the cube of its share of that. A name's rank is an
+exponential variate drawn from its hash at the rate of its weight, so the smallest ranks are a weighted sample that all texts draw alike.
+Likeness is the common share of the weight: exact while the sketches hold all names, beyond that estimated from the smallest ranks of the union.
 
 Edge cases: null text counts as empty; empty texts have the empty fingerprint, which is like itself (1) and unlike any
 other (0); equal rows have equal fingerprints; rows with null doc_id come last in
@@ -27,14 +30,12 @@ from pyspark.sql import functions as F
 from arborweave.session import ship, shuffle_partitions
 
 SKETCH = 64
-LEVELS = 5
-#: Texts below these lengths (code points) also use the names of level 1, and of level 0.
-SHORT, TINY = 240, 24
+#: Length in code points from which a phrase has the whole weight.
+FULL = 8
 #: Code points parsed at once.
 BATCH_CHARS = 300_000
 _ODD1, _ODD2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_LEVEL = np.arange(1, LEVELS + 2, dtype=np.uint64) * _STEP
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -71,8 +72,8 @@ def _labels(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     return label
 
 
-def parse_level(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the phrases of all texts, and the index of each text's first phrase. No text is empty."""
+def parse_level(symbols: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names and sizes (in code points) of the phrases of all texts, and the index of each text's first phrase. No text is empty."""
     begins = np.empty(len(symbols), dtype=bool)
     begins[0] = True
     np.not_equal(symbols[1:], symbols[:-1], out=begins[1:])
@@ -81,7 +82,7 @@ def parse_level(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
     if len(at) < len(symbols):
         run = np.diff(at, append=len(symbols)).astype(np.uint64)
         first = np.searchsorted(at, first)
-        symbols = symbols[at]
+        symbols, sizes = symbols[at], np.add.reduceat(sizes, at)
         symbols = np.where(run > 1, _mix(symbols + run * _STEP), symbols)
     label = _labels(symbols, first)
     begins = np.zeros(len(symbols), dtype=bool)
@@ -90,10 +91,21 @@ def parse_level(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
     last = np.append(first[1:], len(symbols)) - 1
     begins[np.setdiff1d(last, first)] = False  # a phrase of the last symbol alone would depend on the text's end
     at = np.flatnonzero(begins)
-    size = np.diff(at, append=len(symbols))
-    inside = np.arange(len(symbols), dtype=np.uint64) - np.repeat(at.astype(np.uint64), size)
+    count = np.diff(at, append=len(symbols))
+    inside = np.arange(len(symbols), dtype=np.uint64) - np.repeat(at.astype(np.uint64), count)
     names = _mix(np.add.reduceat(_mix(symbols + inside * _STEP), at))
-    return names, np.searchsorted(at, first)
+    return names, np.add.reduceat(sizes, at), np.searchsorted(at, first)
+
+
+def ranks(names: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Exponential variates at the rate of the phrases' weights, as the bits of 32-bit floats, which keep their order.
+
+    The last three bits tell the weight: the phrase's size less one, ``FULL`` at most.
+    """
+    even = ((names >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+    size = np.minimum(sizes, FULL)
+    drawn = (-np.log(even) / (size / FULL) ** 3).astype(np.float32).view(np.uint32)
+    return (drawn & np.uint32(0xFFFFFFF8)) | (size - 1).astype(np.uint32)
 
 
 def fingerprint_all(texts: list[str], sketch: int = SKETCH) -> list[np.ndarray]:
@@ -116,36 +128,38 @@ def _sketches(texts: list[str], sketch: int) -> list[np.ndarray]:
     lengths = np.array([len(t) for t in texts])
     first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     symbols = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    names: list[np.ndarray] = []
-    owners: list[np.ndarray] = []
-    open_texts = np.ones(len(texts), dtype=bool)
-    for level in range(LEVELS + 1):
-        if level:
-            symbols, first = parse_level(symbols, first)
+    sizes = np.ones(len(symbols), dtype=np.int64)
+    found: list[np.ndarray] = []
+    open_texts, level = np.ones(len(texts), dtype=bool), 0
+    while open_texts.any():
+        level += 1
+        symbols, sizes, first = parse_level(symbols, sizes, first)
         count = np.diff(first, append=len(symbols))
-        used = lengths < TINY if level == 0 else lengths < SHORT if level == 1 else np.ones(len(texts), dtype=bool)
-        chosen = np.repeat((used | (count == 1)) & open_texts, count)
+        chosen = np.repeat(open_texts, count)
+        rank = ranks(_mix(symbols[chosen] + np.uint64(level * int(_STEP) % (1 << 64))), sizes[chosen])
+        found.append((np.repeat(np.arange(len(texts), dtype=np.uint64), count)[chosen] << np.uint64(32)) | rank)
         open_texts &= count > 1  # a text that is one phrase has no further level
-        if chosen.any():
-            names.append(_mix(symbols[chosen] + _LEVEL[level]) >> np.uint64(32))
-            owners.append(np.repeat(np.arange(len(texts), dtype=np.uint64), count)[chosen])
-        if len(symbols) == len(texts):
-            break
-    keyed = np.unique((np.concatenate(owners) << np.uint64(32)) | np.concatenate(names))
+    keyed = np.unique(np.concatenate(found))
     edges = np.searchsorted(keyed, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(32))
     low = keyed.astype(np.uint32)
     return [low[a : min(b, a + sketch)] for a, b in zip(edges, edges[1:])]
 
 
 def likeness(a: np.ndarray, b: np.ndarray, sketch: int = SKETCH) -> float:
-    """Estimated share of common names among all names of two texts, from their sketches."""
+    """Share of the weight of common names in that of all names of two texts: exact if neither sketch is full, else estimated.
+
+    The estimate takes the smallest ranks of the union below the last one that both sketches are sure to know, each entry's weight divided
+    by the probability that a name of this weight has a rank below it.
+    """
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.sort(np.concatenate((a, b)))
-    again = both[1:] == both[:-1]
-    distinct = np.concatenate(([0], np.cumsum(~again)))  # number in the union of each entry
-    size = min(int(distinct[-1]) + 1, sketch)
-    return int((again & (distinct[1:] < size)).sum()) / size
+    union, times = np.unique(np.concatenate((a, b)), return_counts=True)
+    weight = (((union & np.uint32(7)).astype(np.float64) + 1) / FULL) ** 3
+    if max(len(a), len(b)) >= sketch and len(union) >= sketch > 1:
+        bound = float((union[sketch - 1] & np.uint32(0xFFFFFFF8)).view(np.float32))
+        weight, times = weight[: sketch - 1], times[: sketch - 1]
+        weight = weight / -np.expm1(-weight * bound)
+    return float(weight[times == 2].sum() / weight.sum())
 
 
 def as_hex(own: np.ndarray) -> str:
