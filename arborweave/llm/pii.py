@@ -10,9 +10,12 @@ the whole is a permutation of the format's values: equal values get equal pseudo
 - ``date``: real days of 1800 to 2199 (year first, day first, or month first where that alone is a day; also before a time of day), permuted as days of that 400-year cycle (146,097 = 189 * 773 days);
 - ``email``: no number; the local part's letters and digits are replaced by keyed hash values of the same kind, the domain stays.
 
-One pattern finds all kinds in one pass, leftmost first. Matches that fail their validation stay as they are.
+One pattern finds all kinds in one pass, leftmost first. Matches that fail their validation stay as they are. Repeated groups in the
+pattern are possessive or bounded, and runs of characters are entered once, so long unbroken strings neither overflow the matcher's stack nor
+take more than linear time.
 
-Edge cases: null text stays null; empty and clean texts stay the same; repeated rows get the same text; an empty table gives no rows.
+Edge cases: null text stays null; empty and clean texts stay the same; repeated rows get the same text; columns of any name are kept; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,17 +23,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborweave.functions.arrays import let, parts
+
 KEY = "arborweave-default-key"
 ROUNDS = 8
-EMAIL = r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: What an e-mail address's local part and a label of its domain are made of.
+LOCAL, LABEL = r"[\p{L}\p{N}._%+-]", "[A-Za-z0-9-]"
+#: From where a run of local characters begins, or the match before ended; all labels of the domain, of which one but the first begins with two letters.
+EMAIL = rf"(?:(?<!{LOCAL})|\G){LOCAL}++@(?={LABEL}++(?:\.(?![A-Za-z]{{2}}){LABEL}++)*+\.[A-Za-z]{{2}}){LABEL}++(?:\.{LABEL}++)*+"
 IP = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"
 SSN = r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w]|[.-]\d)"
 DATE = r"(?<![\w./-])(?:(?:18|19|20|21)\d\d([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2(?:18|19|20|21)\d\d)(?!(?![Tt]\d\d:?\d\d)\w|[./-]\d)"
 PHONE = r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]|[.-]\d)"
-#: Ends a group of digits: neither a word, a decimal nor an e-mail address goes on.
-_ENDS = r"(?!\w|\.\d|[\p{L}\p{N}._%+-]*+@)"
+#: Ends a group of digits: neither a word nor a decimal goes on.
+_ENDS = r"(?!\w|\.\d)"
+#: What follows a space isn't an e-mail address.
+_NO_MAIL = rf"(?!{LOCAL}*+@)"
 #: A whole run of digit groups, 13 digits at least; it ends before a date, a social security or a phone number. Cards are looked for inside.
-CARD = rf"(?<![\w.-])(?=\d(?:[ -]?\d){{12}})\d++{_ENDS}(?:(?:-| (?!{DATE.replace(chr(92) + '1', chr(92) + '3').replace(chr(92) + '2', chr(92) + '4')}|{SSN}|{PHONE}))\d++{_ENDS})*+"
+CARD = rf"(?<![\w.-])(?=\d(?:[ -]?\d){{12}}){_NO_MAIL}\d++{_ENDS}(?:(?:-| {_NO_MAIL}(?!{DATE.replace(chr(92) + '1', chr(92) + '3').replace(chr(92) + '2', chr(92) + '4')}|{SSN}|{PHONE}))\d++{_ENDS})*+"
 CARD_DIGITS = (13, 19)
 DAYS, DAY_MODULI = 146_097, (189, 773)
 #: A step lands on a day over 12 in six of ten cases, so the walk of a month-first date ends long before.
@@ -70,12 +80,7 @@ def permuted_digits(digits: Column, key: str, tweak: Column, inverse: bool = Fal
     left = F.floor(n / 2).cast("int")
     a, b = F.substring(digits, F.lit(1), left).cast("long"), F.substring(digits, left + 1, n - left).cast("long")
     out = F.struct(*[x.alias(k) for k, x in zip("ab", feistel(a, b, _power10(left), _power10(n - left), key, F.concat(tweak, F.lit(":"), n.cast("string")), inverse=inverse))])
-    return _let(out, lambda p: F.concat(F.lpad(p["a"].cast("string"), left, "0"), F.lpad(p["b"].cast("string"), n - left, "0")))
-
-
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    return let(out, lambda p: F.concat(F.lpad(p["a"].cast("string"), left, "0"), F.lpad(p["b"].cast("string"), n - left, "0")))
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -105,11 +110,13 @@ def _with_digits(form: Column, digits: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
+    """A card (one that passes the test) with its digits permuted and a new check digit."""
+
     def swap(d: Column) -> Column:
         body = permuted_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, F.lit("card"))
-        return _let(body, lambda x: _with_digits(m, F.concat(x, ((10 - luhn_sum(F.concat(x, F.lit("0")))) % 10).cast("string"))))
+        return let(body, lambda x: _with_digits(m, F.concat(x, ((10 - luhn_sum(F.concat(x, F.lit("0")))) % 10).cast("string"))))
 
-    return _let(_digits(m), lambda d: F.when((luhn_sum(d) == 0) & ~d.rlike("^0+$"), swap(d)).otherwise(m))
+    return let(_digits(m), swap)
 
 
 def _is_card(digits: Column) -> Column:
@@ -119,51 +126,69 @@ def _is_card(digits: Column) -> Column:
 def _card_run(m: Column, key: str) -> Column:
     """Text and number of cards (text, n) of a run of digit groups.
 
-    A run that is a card in whole is one. Else all stretches of whole groups that pass the test are cards, those in a usual
-    grouping first, then longer ones, then by place; stretches that overlap a chosen one are left.
+    A run that is a card in whole is one. Else cards are stretches of whole groups that pass the test, from the left on. Of those that
+    begin with one group, a usual grouping is preferred, then the longer one; a stretch in no usual grouping gives way to one that
+    is in a usual grouping and begins inside it. The cost grows with the run's length: the result is joined from parts.
     """
     tokens = F.regexp_extract_all(m, F.lit("[0-9]+|[ -]"), F.lit(0))  # groups at even places from 0, separators between
-    span = "struct<a:int,b:int>"
 
     def inside(t: Column) -> Column:
+        groups = F.floor((F.size(t) + 1) / 2).cast("int")
+
         def text(a: Column, b: Column) -> Column:
-            return F.array_join(F.slice(t, a + 1, b - a), "")
+            """Groups a to b (inclusive) with their separators."""
+            return F.array_join(F.slice(t, 2 * a + 1, 2 * (b - a) + 1), "")
 
         def stretch(a: Column, b: Column) -> Column:
-            grouped = text(a, b)
-            usual = grouped.rlike(r"^(?:\d+|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5})$")
-            digits = _digits(grouped)
-            return F.struct(F.when(usual, 0).otherwise(1).alias("rank"), (-F.length(digits)).alias("size"), a.alias("a"), b.alias("b"), digits.alias("digits"))
+            def described(grouped: Column) -> Column:
+                usual = grouped.rlike(r"^(?:\d+|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5})$")
+                return let(_digits(grouped), lambda d: F.struct(F.when(usual, 0).otherwise(1).alias("rank"), (-F.length(d)).alias("size"), b.alias("b"), d.alias("digits")))
+
+            return let(text(a, b), described)
+
+        def best(a: Column) -> Column:
+            ends = F.sequence(a, F.least(a + CARD_DIGITS[1] - 1, groups - 1))
+            return F.get(F.array_sort(F.filter(F.transform(ends, lambda b: stretch(a, b)), lambda s: _is_card(s["digits"]))), F.lit(0))
+
+        def marked(found: Column) -> Column:
+            """Each group with the last group of its card, if one begins there."""
+
+            def ends(s: Column, i: Column) -> Column:
+                later = F.slice(found, i + 2, s["b"] - i)
+                return F.struct(i.alias("a"), F.when((s["rank"] == 0) | ~F.exists(later, lambda x: F.coalesce(x["rank"] == 0, F.lit(False))), s["b"]).alias("b"))
 
-        last = F.size(t) - 1
-        starts = F.filter(F.sequence(F.lit(0), last), lambda a: a % 2 == 0)
-        all_of = F.flatten(F.transform(starts, lambda a: F.transform(F.filter(F.sequence(a, F.least(a + 2 * (CARD_DIGITS[1] - 1), last)), lambda b: b % 2 == 0), lambda b: stretch(a, b + 1))))
-        sound = F.array_sort(F.filter(all_of, lambda s: _is_card(s["digits"])))
+            return F.transform(found, ends)
 
-        def choose(chosen: Column, s: Column) -> Column:
-            taken = F.exists(chosen, lambda c: (c["a"] < s["b"]) & (s["a"] < c["b"]))
-            return F.when(taken, chosen).otherwise(F.concat(chosen, F.array(F.struct(s["a"].alias("a"), s["b"].alias("b")))))
+        def write(acc: Column, g: Column) -> Column:
+            lead = F.when(g["a"] > 0, F.get(t, 2 * g["a"] - 1)).otherwise(F.lit(""))
+            whole = F.struct((g["b"] + 1).alias("at"), F.concat(acc["out"], lead, _card(text(g["a"], g["b"]), key)).alias("out"), (acc["n"] + 1).alias("n"))
+            plain = F.struct((g["a"] + 1).alias("at"), F.concat(acc["out"], lead, F.get(t, 2 * g["a"])).alias("out"), acc["n"].alias("n"))
+            return F.when(g["a"] < acc["at"], acc).when(g["b"].isNotNull(), whole).otherwise(plain)
 
-        chosen = F.array_sort(F.aggregate(sound, F.array().cast(f"array<{span}>"), choose))
+        def add(acc: Column, part: Column) -> Column:
+            start = F.struct(acc["at"].alias("at"), F.lit("").alias("out"), acc["n"].alias("n"))
+            return let(F.aggregate(part, start, write), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out"), x["n"].alias("n")))
 
-        def write(acc: Column, c: Column) -> Column:
-            return F.struct(c["b"].alias("at"), F.concat(acc["out"], text(acc["at"], c["a"]), _card(text(c["a"], c["b"]), key)).alias("out"))
+        last = groups - 1
+        apart = let(F.transform(F.sequence(F.lit(0), last), best), marked)
+        every = F.when(_is_card(_digits(m)), F.array(F.struct(F.lit(0).alias("a"), last.alias("b")))).otherwise(apart)
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"), F.lit(0).alias("n"))
+        return F.aggregate(parts(every), start, add, lambda acc: F.struct(F.array_join(acc["out"], "").alias("text"), acc["n"].alias("n")))
 
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-        return _let(chosen, lambda cs: F.struct(F.aggregate(cs, start, write, lambda acc: F.concat(acc["out"], text(acc["at"], F.size(t)))).alias("text"), F.size(cs).alias("n")))
+    return let(tokens, inside)
 
-    return F.when(_is_card(_digits(m)), F.struct(_card(m, key).alias("text"), F.lit(1).alias("n"))).otherwise(_let(tokens, inside))
 
+SOUND_SSN = "^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"
 
-def _plain(m: Column, key: str, kind: str, kept: str) -> Column:
-    """Digits permuted, but for a prefix."""
-    prefix = F.regexp_extract(m, kept, 0)
-    rest = F.substring(m, F.length(prefix) + 1, F.length(m))
-    return F.concat(prefix, _with_digits(rest, permuted_digits(_digits(rest), key, F.lit(kind))))
 
+def _plain(m: Column, key: str, kind: Column) -> Column:
+    """Digits of a social security or phone number permuted, but for a country code; an unsound number stays."""
+    prefix = F.when(kind == "phone", F.regexp_extract(m, r"^(?:\+\d{1,3}(?=[ .(-]))?", 0)).otherwise(F.lit(""))
 
-def _ssn(m: Column, key: str) -> Column:
-    return F.when(m.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), _plain(m, key, "ssn", "^")).otherwise(m)
+    def swap(rest: Column) -> Column:
+        return F.concat(prefix, _with_digits(rest, permuted_digits(_digits(rest), key, kind)))
+
+    return F.when((kind == "ssn") & ~m.rlike(SOUND_SSN), m).otherwise(let(F.substring(m, F.length(prefix) + 1, F.length(m)), swap))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -171,9 +196,9 @@ def _ip(m: Column, key: str) -> Column:
 
     def swap(p: Column) -> Column:
         a, b = feistel(p[0] * 256 + p[1], p[2] * 256 + p[3], F.lit(65536), F.lit(65536), key, F.lit("ip"))
-        return _let(F.struct(a.alias("a"), b.alias("b")), lambda x: F.concat_ws(".", F.floor(x["a"] / 256).cast("int"), (x["a"] % 256).cast("int"), F.floor(x["b"] / 256).cast("int"), (x["b"] % 256).cast("int")))
+        return let(F.struct(a.alias("a"), b.alias("b")), lambda x: F.concat_ws(".", F.floor(x["a"] / 256).cast("int"), (x["a"] % 256).cast("int"), F.floor(x["b"] / 256).cast("int"), (x["b"] % 256).cast("int")))
 
-    return _let(parts, lambda p: F.when(F.forall(p, lambda x: x <= 255), swap(p)).otherwise(m))
+    return let(parts, lambda p: F.when(F.forall(p, lambda x: x <= 255), swap(p)).otherwise(m))
 
 
 def _date(m: Column, key: str) -> Column:
@@ -184,7 +209,7 @@ def _date(m: Column, key: str) -> Column:
     """
     separator = F.regexp_extract(m, r"[-/.]", 0)
     year_first = m.rlike(r"^[0-9]{4}")
-    parts = F.split(m, r"[-/.]", -1)
+    fields = F.split(m, r"[-/.]", -1)
     padded = ~m.rlike(r"(?:^|[-/.])[0-9](?:[-/.]|$)")
 
     def number(year: Column, month: Column, day: Column) -> Column:
@@ -195,12 +220,15 @@ def _date(m: Column, key: str) -> Column:
     def of(n: Column) -> Column:
         return F.date_add(F.lit("1800-01-01").cast("date"), n)
 
-    def permuted(n: Column) -> Column:
-        a, b = feistel(F.floor(n / DAY_MODULI[1]), n % DAY_MODULI[1], F.lit(DAY_MODULI[0]), F.lit(DAY_MODULI[1]), key, F.lit("date"))
-        return _let(F.struct(a.alias("a"), b.alias("b")), lambda x: (x["a"] * DAY_MODULI[1] + x["b"]).cast("int"))
+    def permuted(n: Column, month_first: Column) -> Column:
+        """The day after one step, or after as many as bring a month-first date to a day over 12 again."""
+
+        def step(acc: Column, _: Column) -> Column:
+            a, b = feistel(F.floor(acc["n"] / DAY_MODULI[1]), acc["n"] % DAY_MODULI[1], F.lit(DAY_MODULI[0]), F.lit(DAY_MODULI[1]), key, F.lit("date"))
+            next_day = let(F.struct(a.alias("a"), b.alias("b")), lambda x: (x["a"] * DAY_MODULI[1] + x["b"]).cast("int"))
+            return F.when(acc["done"], acc).otherwise(let(next_day, lambda x: F.struct(x.alias("n"), (~month_first | (F.dayofmonth(of(x)) > 12)).alias("done"))))
 
-    def walked(n: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.lit(MONTH_FIRST_STEPS)), permuted(n), lambda x, _: F.when(F.dayofmonth(of(x)) > 12, x).otherwise(permuted(x)))
+        return F.aggregate(F.sequence(F.lit(1), F.when(month_first, MONTH_FIRST_STEPS).otherwise(1)), F.struct(n.alias("n"), F.lit(False).alias("done")), step, lambda acc: acc["n"])
 
     def written(d: Column, month_first: Column) -> Column:
         dd = F.when(padded, F.lpad(F.dayofmonth(d).cast("string"), 2, "0")).otherwise(F.dayofmonth(d).cast("string"))
@@ -211,38 +239,48 @@ def _date(m: Column, key: str) -> Column:
     def swap(p: Column) -> Column:
         usual = number(F.when(year_first, p[0]).otherwise(p[2]), p[1], F.when(year_first, p[2]).otherwise(p[0]))
         other = F.when(~year_first, number(p[2], p[0], p[1]))
-        both = F.struct(usual.alias("usual"), other.alias("other"))
-        return _let(both, lambda n: F.when(n["usual"].isNotNull(), _let(permuted(n["usual"]), lambda x: written(of(x), F.lit(False)))).when(n["other"].isNotNull(), _let(walked(n["other"]), lambda x: written(of(x), F.lit(True)))).otherwise(m))
+        both = F.struct(F.coalesce(usual, other).alias("n"), usual.isNull().alias("month_first"))
+        return let(both, lambda d: F.when(d["n"].isNull(), m).otherwise(let(permuted(d["n"], d["month_first"]), lambda x: written(of(x), d["month_first"]))))
 
-    return _let(parts, swap)
+    return let(fields, swap)
 
 
 def _email(m: Column, key: str) -> Column:
-    local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    stream = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"email{i}"), F.lower(m)), 256) for i in range(4)])
+    """The address reaches to the last label of the domain that begins with two letters, as far as its letters go; what is behind stays."""
+    found = F.regexp_extract(m, r"^[^@]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0)
+
+    def swap(address: Column) -> Column:
+        local = F.substring_index(address, "@", 1)
+        stream = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"email{i}"), F.lower(address)), 256) for i in range(4)])
+
+        def char(c: Column, i: Column, bytes_: Column) -> Column:
+            byte = F.conv(F.substring(bytes_, (i * 4) % 256 + 1, F.lit(4)), 16, 10).cast("int")
+            letters, digits = F.lit("abcdefghijklmnopqrstuvwxyz"), F.lit("0123456789")
+            return F.when(c.rlike(r"^\p{N}$"), F.substring(digits, byte % 10 + 1, F.lit(1))).when(c.rlike(r"^\p{L}$"), F.substring(letters, byte % 26 + 1, F.lit(1))).otherwise(c)
 
-    def char(c: Column, i: Column) -> Column:
-        byte = F.conv(F.substring(stream, (i * 4) % 256 + 1, F.lit(4)), 16, 10).cast("int")
-        letters, digits = F.lit("abcdefghijklmnopqrstuvwxyz"), F.lit("0123456789")
-        return F.when(c.rlike(r"^\p{N}$"), F.substring(digits, byte % 10 + 1, F.lit(1))).when(c.rlike(r"^\p{L}$"), F.substring(letters, byte % 26 + 1, F.lit(1))).otherwise(c)
+        new = let(stream, lambda x: F.array_join(F.transform(F.regexp_extract_all(local, F.lit("(?s)."), F.lit(0)), lambda c, i: char(c, i, x)), ""))
+        return F.concat(new, F.substring(m, F.length(local) + 1, F.length(m)))
 
-    return F.concat(F.array_join(F.transform(F.regexp_extract_all(local, F.lit("(?s)."), F.lit(0)), char), ""), F.lit("@"), domain)
+    return let(found, swap)
 
 
 def pseudonym(m: Column, key: str) -> Column:
     """Kind, text and number of replaced values (kind, text, n) of one match, by the first kind that it is of in whole."""
+    kind = (
+        F.when(m.contains("@"), "email")
+        .when(m.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), "ip")
+        .when(m.rlike(f"^(?:{DATE})$"), "date")
+        .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
+        .when(m.rlike(r"^\d[0-9 -]*$") & ~m.rlike(r"^\d{3}-\d{3}-\d{4}$"), "card")
+        .otherwise("phone")
+    )
 
-    def one(kind: str, text: Column) -> Column:
-        return _let(text, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text"), (x != m).cast("int").alias("n")))
+    def replaced(k: Column) -> Column:
+        text = F.when(k == "email", _email(m, key)).when(k == "ip", _ip(m, key)).when(k == "date", _date(m, key)).otherwise(_plain(m, key, k))
+        one = let(text, lambda x: F.struct(x.alias("text"), (x != m).cast("int").alias("n")))
+        return let(F.when(k == "card", _card_run(m, key)).otherwise(one), lambda x: F.struct(k.alias("kind"), x["text"].alias("text"), x["n"].alias("n")))
 
-    return (
-        F.when(m.contains("@"), one("email", _email(m, key)))
-        .when(m.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), one("ip", _ip(m, key)))
-        .when(m.rlike(f"^(?:{DATE})$"), one("date", _date(m, key)))
-        .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), one("ssn", _ssn(m, key)))
-        .when(m.rlike(r"^\d[0-9 -]*$") & ~m.rlike(r"^\d{3}-\d{3}-\d{4}$"), _let(_card_run(m, key), lambda x: F.struct(F.lit("card").alias("kind"), x["text"].alias("text"), x["n"].alias("n"))))
-        .otherwise(one("phone", _plain(m, key, "phone", r"^(?:\+\d{1,3}(?=[ .(-]))?")))
-    )
+    return let(kind, replaced)
 
 
 #: Groups of the date pattern are numbered within it, so it comes first in the whole.
@@ -250,14 +288,21 @@ PATTERN = f"{DATE}|{EMAIL}|{IP}|{SSN}|{PHONE}|{CARD}"
 
 
 def pseudonymized(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """All columns of ``docs``, text with pseudonyms, and ``__pii``: array of (kind, n: values replaced) per match."""
+    """row (all columns of ``docs``), text with pseudonyms, marks: array of (kind, n: values replaced) per match."""
     text = F.col("text")
-    found = docs.withColumn("__found", F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")))
-    found = found.withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key)))
-    parts = F.zip_with(F.split(text, PATTERN, -1), F.col("__new"), lambda g, m: F.concat(g, F.coalesce(m["text"], F.lit(""))))
-    replaced = F.when(F.size("__found") > 0, F.array_join(parts, "")).otherwise(text)
-    marks = F.transform("__new", lambda x: F.struct(x["kind"].alias("kind"), x["n"].alias("n")))
-    return found.withColumn("__pii", marks).select(*[replaced.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "__pii")
+    found = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    nothing = F.array().cast("array<string>")
+    matches = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(nothing)  # all kinds have one of these
+    found = found.withColumn("found", F.coalesce(matches, nothing))
+    found = found.withColumn("new", F.transform("found", lambda m: pseudonym(m, key)))
+    pieces = F.zip_with(F.split(text, PATTERN, -1), F.col("new"), lambda g, m: F.concat(g, F.coalesce(m["text"], F.lit(""))))
+    replaced = F.when(F.size("found") > 0, F.array_join(pieces, "")).otherwise(text)
+    return found.select("row", replaced.alias("text"), F.transform("new", lambda x: F.struct(x["kind"].alias("kind"), x["n"].alias("n"))).alias("marks"))
+
+
+def without_personal_data(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """``docs`` with pseudonyms in ``text``; other columns as they are."""
+    return pseudonymized(docs, key).select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def pseudonyms(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -265,6 +310,6 @@ def pseudonyms(docs: DataFrame, key: str = KEY) -> DataFrame:
     out = pseudonymized(docs.select(F.col("doc_id").cast("long"), "text"), key)
 
     def count(kind: str) -> Column:
-        return F.aggregate("__pii", F.lit(0), lambda n, p: n + F.when(p["kind"] == kind, p["n"]).otherwise(0)).cast("long").alias(f"n_{kind}")
+        return F.aggregate("marks", F.lit(0), lambda n, p: n + F.when(p["kind"] == kind, p["n"]).otherwise(0)).cast("long").alias(f"n_{kind}")
 
-    return out.select("doc_id", "text", *[count(k) for k in KINDS])
+    return out.select("row.doc_id", "text", *[count(k) for k in KINDS])
