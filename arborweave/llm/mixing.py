@@ -12,7 +12,7 @@ third of all rows is spread over its buckets, and equal rows get equal decisions
 of a source in which the target ends, every document gives the same share of its words.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; rows without
-words are never taken and have no position; repeated rows count each; an empty table gives no rows.
+words are never taken and have no position; repeated rows count each; columns of any name are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ SCHEDULES: tuple[tuple[float, ...], ...] = ((4.5, 3.0, 1.5), (1.0, 1.0, 1.0), (1
 SHARE = 1.5
 MAX_EPOCHS = 2
 BUCKETS = 1024
+#: Rows (of a source and bucket) that are broadcast to the documents: about 20 MB. With more, documents are joined by shuffles.
+BROADCAST_RANGES = 1 << 18
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -85,45 +87,46 @@ def source_targets(sums: DataFrame, schedules: Sequence[Sequence[float]] = SCHED
     return levels.select("source", "source_size", "class", "weight", target.alias("target"))
 
 
-def plan_mix(docs: DataFrame, schedules: Sequence[Sequence[float]] = SCHEDULES, share: float = SHARE, max_epochs: int = MAX_EPOCHS, buckets: int = BUCKETS, key: str = "doc_id") -> DataFrame:
-    """All columns of ``docs`` and a struct ``__mix`` per row.
+def _sized(docs: DataFrame, buckets: int, *kept: Column) -> DataFrame:
+    """key (doc_id), source, size, bucket, and ``kept``."""
+    rows = docs.select(F.col("doc_id").alias("key"), F.col("source"), word_count(F.col("text")).alias("size"), *kept)
+    return rows.withColumn("bucket", hash_bucket("key", "source", buckets=buckets))
 
-    Its fields: size, source_size, target, taken (words, repeats counted), placements (array of epoch,
-    words, position: one entry for each time that the document is used).
+
+def place(sized: DataFrame, sums: DataFrame, schedules: Sequence[Sequence[float]], share: float, max_epochs: int, buckets: int) -> DataFrame:
+    """``sized`` with source_size, target, taken (words, repeats counted) and placements (array of epoch,
+    words, position: one entry for each time that the document is used). ``sums``: words of each source and bucket.
     """
-    sized = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__source", F.col("source")).withColumn("__bucket", hash_bucket(key, "source", buckets=buckets))
-    return place(sized, schedules, share, max_epochs, buckets, key)
-
-
-def place(sized: DataFrame, schedules: Sequence[Sequence[float]], share: float, max_epochs: int, buckets: int, key: str) -> DataFrame:
-    sums = sized.groupBy("__source", "__bucket").agg(F.sum("__size").alias("__words"))
-    sums = cut(sums)  # one row per source and bucket; the texts are not read again for the totals
-    totals = sums.groupBy(F.col("__source").alias("source")).agg(F.sum("__words").alias("source_size"))
-    targets = source_targets(totals, schedules, share, max_epochs).withColumnRenamed("source", "__target_source")
-    before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = sums.withColumn("__start", F.coalesce(F.sum("__words").over(before), F.lit(0).cast("long")))
-    ranges = ranges.join(targets, F.col("__source").eqNullSafe(F.col("__target_source")), "inner").drop("__target_source")
-    ranges = ranges.select(F.col("__source").alias("__r_source"), F.col("__bucket").alias("__r_bucket"), "__words", "__start", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("class").alias("__class"))
-    on = F.col("__source").eqNullSafe(F.col("__r_source")) & F.col("__bucket").eqNullSafe(F.col("__r_bucket"))
-    joined = sized.join(ranges, on, "inner")
+    totals = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
+    targets = source_targets(totals, schedules, share, max_epochs).withColumnRenamed("source", "target_source")
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sums.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0).cast("long")))
+    ranges = ranges.join(targets, F.col("source").eqNullSafe(F.col("target_source")), "inner")
+    ranges = ranges.select(F.col("source").alias("r_source"), F.col("bucket").alias("r_bucket"), "words", "start", "source_size", "target", "class")
+    if sums.count() <= BROADCAST_RANGES:
+        ranges = F.broadcast(ranges)
+    joined = sized.join(ranges, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("bucket") == F.col("r_bucket")), "inner")
     #: The place within the bucket: the hash bits below those that name the bucket.
-    low = F.shiftrightunsigned(F.shiftleft(F.xxhash64(key, "__source"), buckets.bit_length() - 1), 11).cast("double") / F.lit(float(1 << 53))
-    goal = F.round(F.col("__target")).cast("double")
+    low = F.shiftrightunsigned(F.shiftleft(F.xxhash64("key", "source"), buckets.bit_length() - 1), 11).cast("double") / F.lit(float(1 << 53))
+    goal = F.round("target").cast("double")
     entries = []
     for epoch in range(max_epochs):
-        start = F.col("__start") + F.lit(float(epoch)) * F.col("__source_size")
-        part = F.when(F.col("__words") > 0, F.least(F.greatest((goal - start) / F.col("__words"), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
-        words = F.round(part * F.col("__size")).cast("long")
-        at = F.least((start + F.col("__low") * part * F.col("__words")) / goal, F.lit(1.0))
+        start = F.col("start") + F.lit(float(epoch)) * F.col("source_size")
+        part = F.when(F.col("words") > 0, F.least(F.greatest((goal - start) / F.col("words"), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+        words = F.round(part * F.col("size")).cast("long")
+        at = F.least((start + F.col("low") * part * F.col("words")) / goal, F.lit(1.0))
         position = F.lit(None).cast("double")
         for i, knots in enumerate(schedules):
-            position = F.when(F.col("__class") == i, training_time(at, knots)).otherwise(position)
+            position = F.when(F.col("class") == i, training_time(at, knots)).otherwise(position)
         entries.append(F.struct(F.lit(epoch).alias("epoch"), words.alias("words"), position.alias("position")))
-    placed = joined.withColumn("__low", low).withColumn("__all", F.array(*entries))
-    placements = F.filter("__all", lambda x: x["words"] > 0)
-    taken = F.aggregate("__all", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    mix = F.struct(F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.alias("taken"), placements.alias("placements"))
-    return placed.withColumn("__mix", mix).drop("__size", "__source", "__bucket", "__r_source", "__r_bucket", "__words", "__start", "__source_size", "__target", "__class", "__low", "__all")
+    placed = joined.withColumn("low", low).withColumn("all", F.array(*entries))
+    taken = F.aggregate("all", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    return placed.withColumn("taken", taken).withColumn("placements", F.filter("all", lambda x: x["words"] > 0)).drop("r_source", "r_bucket", "words", "start", "class", "low", "all")
+
+
+def _sums(sized: DataFrame) -> DataFrame:
+    """One row per source and bucket; the texts are not read again for the totals."""
+    return cut(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
 
 
 def mix_positions(docs: DataFrame, schedules: Sequence[Sequence[float]] = SCHEDULES, share: float = SHARE, max_epochs: int = MAX_EPOCHS, buckets: int = BUCKETS) -> DataFrame:
@@ -131,14 +134,17 @@ def mix_positions(docs: DataFrame, schedules: Sequence[Sequence[float]] = SCHEDU
 
     Texts are read once: their word counts are cut off in narrow rows before anything else.
     """
-    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("__size")).withColumn("__source", F.col("source")).withColumn("__bucket", hash_bucket("doc_id", "source", buckets=buckets))
-    placed = place(cut(narrow), schedules, share, max_epochs, buckets, "doc_id")
-    return placed.select("doc_id", "source", "__mix.*").orderBy(F.get("placements", F.lit(0))["position"].asc_nulls_last(), "doc_id")
+    narrow = cut(_sized(docs, buckets))
+    placed = place(narrow, _sums(narrow), schedules, share, max_epochs, buckets)
+    rows = placed.select(F.col("key").alias("doc_id"), "source", "size", "source_size", "target", "taken", "placements")
+    return rows.orderBy(F.get("placements", F.lit(0))["position"].asc_nulls_last(), "doc_id")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents in training order, a document once for each time that the mix takes it; only ``docs``' own columns."""
-    columns = docs.columns
-    placed = plan_mix(docs, **options)
-    each = placed.select(*[F.col(f"`{c}`") for c in columns], F.explode("__mix.placements").alias("__placement"))
-    return each.orderBy(F.col("__placement.position"), F.xxhash64("doc_id")).drop("__placement")
+def mixed_documents(docs: DataFrame, schedules: Sequence[Sequence[float]] = SCHEDULES, share: float = SHARE, max_epochs: int = MAX_EPOCHS, buckets: int = BUCKETS) -> DataFrame:
+    """The documents in training order, a document once for each time that the mix takes it; only ``docs``' own columns.
+
+    Texts move once, to their places in the order.
+    """
+    placed = place(_sized(docs, buckets, F.struct("*").alias("row")), _sums(_sized(docs, buckets)), schedules, share, max_epochs, buckets)
+    each = placed.select("row", "key", F.explode("placements").alias("placement"))
+    return each.orderBy(F.col("placement.position"), F.xxhash64("key")).select("row.*")
