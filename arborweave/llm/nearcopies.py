@@ -47,6 +47,8 @@ RADIUS = 26
 SHARD_POINTS = 4096
 #: Bits of a sketch, at least and at most; between them two to four a shingle.
 LEAST_BITS, MOST_BITS = 128, 1 << 14
+#: Texts held as sets at once.
+TEXTS = 256
 _draw = np.random.Generator(np.random.PCG64(42))
 _FACTORS = (_draw.integers(0, 1 << 32, (BANDS * BAND_ROWS, 1), dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
 _MASKS = _draw.integers(0, 1 << 32, (BANDS * BAND_ROWS, 1), dtype=np.uint32)
@@ -102,7 +104,7 @@ class Sketches:
             left, right = a[at], b[at]
             if wide < narrow:
                 wide, narrow, left, right = narrow, wide, right, left
-            step = max(1, (1 << 21) // wide)
+            step = max(1, (1 << 17) // wide)
             for i in range(0, len(at), step):
                 x, y = self.of[wide][self.place[left[i : i + step]]], self.of[narrow][self.place[right[i : i + step]]]
                 if wide > narrow:
@@ -146,20 +148,24 @@ KEY = ["unnamed", "id", "text_hash"]
 def prints(docs: DataFrame) -> DataFrame:
     """unnamed, id, text_hash, sid (of the shingle set), n (its size), fp, sketch, bands."""
 
+    def made(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, sizes, fps, sketches, keys, ends = [], [], [], [], [], [0]
+        for t in batch.column("text").to_pylist():
+            hashes = shingle_set(t)
+            ids.append(set_id(hashes))
+            sizes.append(len(hashes))
+            fps.append(simhash.majority(hashes))
+            sketches.append(sketch(hashes))
+            keys += band_keys(hashes)
+            ends.append(len(keys))
+        bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(keys))
+        columns = [*map(batch.column, KEY), _signed(ids), pa.array(sizes, pa.int32()), _signed(fps), pa.array(sketches, pa.binary()), bands]
+        return pa.RecordBatch.from_arrays(columns, [*KEY, "sid", "n", "fp", "sketch", "bands"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, fps, sketches, keys, ends = [], [], [], [], [], [0]
-            for t in batch.column("text").to_pylist():
-                hashes = shingle_set(t)
-                ids.append(set_id(hashes))
-                sizes.append(len(hashes))
-                fps.append(simhash.majority(hashes))
-                sketches.append(sketch(hashes))
-                keys += band_keys(hashes)
-                ends.append(len(keys))
-            bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(keys))
-            columns = [*map(batch.column, KEY), _signed(ids), pa.array(sizes, pa.int32()), _signed(fps), pa.array(sketches, pa.binary()), bands]
-            yield pa.RecordBatch.from_arrays(columns, [*KEY, "sid", "n", "fp", "sketch", "bands"])
+            for a in range(0, len(batch), TEXTS):
+                yield made(batch.slice(a, TEXTS))
 
     ship(docs.sparkSession)
     return docs.select(*_key(docs), "text").mapInArrow(run, "unnamed boolean, id long, text_hash long, sid long, n int, fp long, sketch binary, bands array<long>")
@@ -222,7 +228,9 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             near = pa.array([similar(*[np.frombuffer(x.as_buffer(), "<u8") for x in pair]) for pair in both], pa.bool_())
             yield batch.select(["a", "b"]).filter(near).rename_columns(["src", "dst"])
 
-    one, two = (sets.select(F.col("sid").alias(x), F.col("hashes").alias(f"hashes_{x}")) for x in "ab")
+    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid")))
+    needed = cut(sifted(sets, F.xxhash64("sid"), sieve(ends, F.xxhash64("sid")), "needed").filter("needed"))
+    one, two = (needed.select(F.col("sid").alias(x), F.col("hashes").alias(f"hashes_{x}")) for x in "ab")
     return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(check, "src long, dst long"))
 
 
@@ -231,12 +239,14 @@ def _whole_sets(points: DataFrame, docs: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array([shingle_set(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["sid", "hashes"])
+            for a in range(0, len(batch), TEXTS):
+                part = batch.slice(a, TEXTS)
+                yield pa.RecordBatch.from_arrays([part.column("sid"), pa.array([shingle_set(t).tobytes() for t in part.column("text").to_pylist()], pa.binary())], ["sid", "hashes"])
 
     chosen = points.select("sid", "best.*")
     keyed = docs.select(*_key(docs), "text")
-    texts = sifted(keyed, F.xxhash64(*KEY), sieve(chosen, F.xxhash64(*KEY)), "held").filter("held").drop("held").join(chosen, KEY).select("sid", "text")
-    return cut(texts.mapInArrow(sets, "sid long, hashes binary").dropDuplicates(["sid"]))
+    texts = sifted(keyed, F.xxhash64(*KEY), sieve(chosen, F.xxhash64(*KEY)), "held").filter("held").drop("held").join(chosen, KEY).dropDuplicates(KEY).select("sid", "text")
+    return cut(texts.mapInArrow(sets, "sid long, hashes binary"))
 
 
 def _dealt(shared: DataFrame, points: DataFrame, across: bool) -> DataFrame:

@@ -106,10 +106,10 @@ class BKForest:
     def links(self, radius: int, searches: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (search, point) of a tree within ``radius``, in bounded batches; every point is a search if none are named."""
         searches = np.arange(len(self.points)) if searches is None else searches
-        stack = [(part, self.root[part]) for part in np.split(searches, range(4096, len(searches), 4096))]
+        stack = [(part, self.root[part]) for part in np.split(searches, range(1024, len(searches), 1024))]
         while stack:
             search, node = stack.pop()
-            if len(search) > 1 << 16:
+            if len(search) > 1 << 14:
                 half = len(search) // 2
                 stack += [(search[:half], node[:half]), (search[half:], node[half:])]
                 continue

@@ -20,10 +20,14 @@ def next_texts(docs: list[tuple]) -> dict:
     return {d: text[ids[(i + 1) % len(ids)]] for i, d in enumerate(ids)}
 
 
-def edited_sha256(text: str | None, following: str) -> str:
+def edited(text: str | None, following: str) -> str:
     text = text or ""
     third = len(text) // 3
-    return hashlib.sha256((text[: len(text) - third] + following[:third]).encode()).hexdigest()
+    return text[: len(text) - third] + following[:third]
+
+
+def edited_sha256(text: str | None, following: str) -> str:
+    return hashlib.sha256(edited(text, following).encode()).hexdigest()
 
 
 def simhash(text: str | None) -> int:
@@ -118,3 +122,62 @@ def luhn(digits: str) -> bool:
 
 def crc_mod(doc_id, n: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % n
+
+
+def _mix64(x: int) -> int:
+    top = (1 << 64) - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & top
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & top
+    return x ^ x >> 31
+
+
+_GOLDEN, _TOP = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def _toss(labels: list[int]) -> list[int]:
+    """Twice the lowest bit in which a symbol differs from its left neighbour, plus that bit; the first one's lowest bit."""
+    out = [labels[0] & 1]
+    for left, own in zip(labels, labels[1:]):
+        low = ((own ^ left) & -(own ^ left)).bit_length() - 1
+        out.append(2 * low + (own >> low & 1))
+    return out
+
+
+def phrases(text: str) -> list[tuple[int, int, str]]:
+    """(level, name, phrase as a string) of every phrase of a text, a symbol at a time."""
+    level, out = 0, []
+    symbols = [(ord(c), c) for c in text]
+    while symbols and (level == 0 or len(symbols) > 1):
+        level += 1
+        runs: list[list] = []
+        for name, part in symbols:
+            if runs and runs[-1][0] == name:
+                runs[-1][1:] = [runs[-1][1] + part, runs[-1][2] + 1]
+            else:
+                runs.append([name, part, 1])
+        symbols = [(_mix64((name + n * _GOLDEN) & _TOP) if n > 1 else name, part) for name, part, n in runs]
+        labels = _toss(_toss(_toss([name for name, _ in symbols])))
+        begins = [0] + [i for i in range(1, len(labels) - 1) if labels[i] < labels[i - 1] and labels[i] < labels[i + 1]]
+        merged = []
+        for a, b in zip(begins, [*begins[1:], len(symbols)]):
+            total = sum(_mix64((name + i * _GOLDEN) & _TOP) for i, (name, _) in enumerate(symbols[a:b])) & _TOP
+            merged.append((_mix64(total), "".join(part for _, part in symbols[a:b])))
+        symbols = merged
+        out += [(level, name, part) for name, part in symbols]
+    return out
+
+
+def phrase_sketch(text: str | None, size: int = 64) -> list[float]:
+    """The smallest exponential ranks of a text's phrases, by weight of their lengths."""
+    found = set()
+    for level, name, part in phrases(text or ""):
+        hashed = _mix64((name + level * _GOLDEN) & _TOP)
+        found.add(-math.log(((hashed >> 11) + 0.5) / 2**53) / min(len(part) / 8, 1) ** 3)
+    return sorted(found)[:size]
+
+
+def phrase_likeness(a: str, b: str) -> float:
+    """Exact share of the common weight of two texts' phrases."""
+    x, y = ({(level, part): min(len(part) / 8, 1) ** 3 for level, _, part in phrases(t)} for t in (a, b))
+    union = x | y
+    return sum(w for k, w in union.items() if k in x and k in y) / sum(union.values()) if union else 1.0

@@ -40,16 +40,45 @@ def test_phrase_boundaries_are_local():
     body = np.array([r.randrange(1 << 20) for _ in range(400)], dtype=np.uint64)
     for pad in (1, 7, 30):
         longer = np.concatenate((np.array([r.randrange(1 << 20) for _ in range(pad)], dtype=np.uint64), body))
-        x, y = fingerprint.parse_level(body, np.array([0]))[0], fingerprint.parse_level(longer, np.array([0]))[0]
+        x, y = (fingerprint.parse_level(v, np.ones(len(v), np.int64), np.array([0]))[0] for v in (body, longer))
         assert len(set(x) - set(y)) <= 6
 
 
-def test_likeness_estimates_jaccard():
+@settings(max_examples=60, deadline=None)
+@given(st.one_of(st.text(max_size=200), st.text(alphabet="ab ", max_size=400), st.integers(0, 10**6).map(lambda n: prose(random.Random(n), "fr", 150))))
+def test_sketch_is_that_of_a_plain_parse(text):
+    want = plain.phrase_sketch(text)
+    (got,) = fingerprint.fingerprint_all([text])
+    assert len(got) == len(want) and np.allclose(got.view(np.float32), want, rtol=2e-6)
+
+
+def test_likeness_estimates_the_plain_one():
+    r = random.Random(12)
+    for words in (3, 10, 40, 150):
+        gaps = []
+        for _ in range(25):
+            a, b = prose(r, "en", words), prose(r, "en", words)
+            changed = fingerprint.edited(a, b)
+            gaps.append(fingerprint.likeness(*fingerprint.fingerprint_all([a, changed])) - plain.phrase_likeness(a, changed))
+        assert abs(np.mean(gaps)) < 0.05 and np.abs(gaps).max() < (0.3 if words > 10 else 1e-6)
+
+
+def test_likeness_has_no_jumps_over_lengths():
+    """A text and its first n characters, and those with three more: no length at which likeness falls."""
+    r = random.Random(13)
+    texts = [prose(r, "en", 120)[:400] for _ in range(25)]
+    near = {n: np.mean([fingerprint.likeness(*fingerprint.fingerprint_all([t[:n], t[: n + 3]])) for t in texts]) for n in range(20, 300, 4)}
+    steps = sorted(near)
+    assert all(near[b] > near[a] - 0.08 for a, b in zip(steps, steps[1:])) and near[steps[-1]] > 0.75
+
+
+def test_likeness_estimates_weighted_jaccard():
     r = random.Random(9)
-    a = {r.getrandbits(32) for _ in range(3000)}
-    b = set(list(a)[:1500]) | {r.getrandbits(32) for _ in range(1500)}
-    low = [np.array(sorted(x)[:256], dtype=np.uint32) for x in (a, b)]
-    assert fingerprint.likeness(*low, sketch=256) == pytest.approx(len(a & b) / len(a | b), abs=0.1)
+    a = [(r.getrandbits(64), r.randint(1, 12)) for _ in range(3000)]
+    b = a[:1500] + [(r.getrandbits(64), r.randint(1, 12)) for _ in range(1500)]
+    low = [np.sort(fingerprint.ranks(np.array([n for n, _ in x], dtype=np.uint64), np.array([k for _, k in x])))[:256] for x in (a, b)]
+    x, y = (sum(min(k / 8, 1) ** 3 for _, k in part) for part in (a[:1500], a + b[1500:]))
+    assert fingerprint.likeness(*low, sketch=256) == pytest.approx(x / y, abs=0.1)
 
 
 def test_fingerprints_of_odd_rows(odd_docs):
@@ -149,13 +178,19 @@ def test_targets_of_skewed_sources(spark):
 
 
 def test_mixed_odd_rows(odd_docs, no_docs):
-    got = mixing.mixed_documents(odd_docs)
-    assert got.columns == odd_docs.columns
-    placed = mixing.plan_mix(odd_docs).select("__mix.*")
-    assert got.count() == placed.select(F.sum(F.size("placements"))).first()[0]
+    clash = odd_docs.withColumns({c: F.lit(7) for c in ("row", "key", "bucket", "words", "placement", "low")})
+    got = mixing.mixed_documents(clash)
+    assert got.columns == clash.columns
+    assert got.count() == mixing.mix_positions(odd_docs).select(F.sum(F.size("placements"))).first()[0]
     assert mixing.mixed_documents(no_docs).isEmpty()
 
 
+def test_mix_is_the_same_without_a_broadcast(docs, monkeypatch):
+    rows = [tuple(r)[:2] for r in mixing.mixed_documents(docs).collect()]
+    monkeypatch.setattr(mixing, "BROADCAST_RANGES", -1)
+    assert [tuple(r)[:2] for r in mixing.mixed_documents(docs).collect()] == rows
+
+
 def test_mix_follows_its_curriculum(spark):
     """A falling source comes early, a rising one late."""
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"))
@@ -309,7 +344,7 @@ def test_entropy_of_every_class(spark):
 def test_window_entropy(spark):
     r = random.Random(11)
     texts = ["".join(r.choice("abcdeF01+") for _ in range(r.randint(8, 60))) for _ in range(60)]
-    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("t", secrets.window_entropy(F.col("t"), 12).alias("h"))
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("t", secrets.window_entropy(F.col("t"), F.lit(12)).alias("h"))
     for x in df.collect():
         assert (x["h"] is None) if len(x["t"]) < 12 else x["h"] == pytest.approx(plain.entropy(x["t"], 12), abs=1e-9)
 
@@ -438,7 +473,9 @@ def test_feistel_is_a_permutation(spark):
 
 def test_pseudonyms_of_odd_rows(odd_docs, no_docs):
     assert pii.pseudonyms(odd_docs).count() == odd_docs.count() and pii.pseudonyms(no_docs).isEmpty()
-    assert pii.pseudonymized(odd_docs).columns == [*odd_docs.columns, "__pii"]
+    clash = odd_docs.withColumns({c: F.lit(7) for c in ("row", "found", "new", "marks", "spans", "base")})
+    for out in (pii.without_personal_data(clash), secrets.redacted(clash)):
+        assert out.columns == clash.columns and out.filter("row = 7 AND found = 7 AND new = 7 AND marks = 7 AND spans = 7 AND base = 7").count() == clash.count()
 
 
 @settings(max_examples=60, deadline=None)

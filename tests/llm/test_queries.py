@@ -30,6 +30,10 @@ def test_op1(spark, tables, rows):
         assert got[d]["n_chars"] == len(text or "")
         assert got[d]["edited_sha256"] == plain.edited_sha256(text, after[d])
         assert 0 <= got[d]["near_edited"] <= 1 and 0 <= got[d]["near_next"] <= 1
+        for name, t in (("fingerprint", text), ("edited_fingerprint", plain.edited(text, after[d]))):
+            if len(t or "") < 20_000:
+                ranks = np.frombuffer(bytes.fromhex(got[d][name]), ">u4").astype(np.uint32).view(np.float32)
+                assert np.allclose(ranks, plain.phrase_sketch(t), rtol=2e-6)
     same = defaultdict(set)
     for d, text, *_ in rows:
         same[text or ""].add(got[d]["fingerprint"])
