@@ -60,6 +60,7 @@ def start_vertex(adj: DataFrame) -> int | None:
     return best[0]["src"] if best else None
 
 
+LEVELS = "id long, level int"
 #: Levels after which the table of seen vertices is written anew; between, it is a union of the levels' own checkpoints.
 MERGE_EVERY = 8
 
@@ -69,9 +70,11 @@ def _grown(seen: DataFrame, frontier: DataFrame, level: int) -> DataFrame:
     return cut(both) if level % MERGE_EVERY == 0 else both
 
 
-def bfs_levels(adj: DataFrame, start: int) -> DataFrame:
-    """id, level of every vertex that ``start`` reaches. One join and one anti-join a level, cut off by reliable checkpoints."""
+def bfs_levels(adj: DataFrame, start: int | None) -> DataFrame:
+    """id, level of every vertex that ``start`` reaches; none from None. One join and one anti-join a level, cut off by reliable checkpoints."""
     spark = adj.sparkSession
+    if start is None:
+        return spark.createDataFrame([], LEVELS)
     frontier = spark.range(start, start + 1).select("id", F.lit(0).alias("level"))
     seen, level = cut(frontier), 0
     frontier = seen
@@ -91,9 +94,11 @@ def use_commands(token_edge_ratio: float, path_token_ratio: float, n_vertices: i
     return not (n_vertices >= LARGE_GRAPH and (path_token_ratio >= LARGE_PATH_TOKEN or token_edge_ratio >= LARGE_TOKEN_EDGE))
 
 
-def bfs_levels_encoded(commands: DataFrame, parents: DataFrame, start: int, n_vertices: int | None = None) -> DataFrame:
+def bfs_levels_encoded(commands: DataFrame, parents: DataFrame, start: int | None, n_vertices: int | None = None) -> DataFrame:
     """The same on commands. A path is expanded only beyond the steps that its bottom has been expanded to before."""
     spark = commands.sparkSession
+    if start is None:
+        return spark.createDataFrame([], LEVELS)
     seen = cut(spark.range(start, start + 1).select("id", F.lit(0).alias("level")))
     frontier, level = seen, 0
     done = cut(spark.createDataFrame([], "bottom long, expanded_to long"))

@@ -335,14 +335,21 @@ def _expanded_by_joins(commands: DataFrame, parents: DataFrame) -> DataFrame:
     while 1 << len(jumps) <= MAX_STEPS:
         a, b = jumps[-1], jumps[-1].select(F.col("node").alias("mid"), F.col("up").alias("top"))
         jumps.append(cut(a.join(b, F.col("up") == F.col("mid")).select("node", F.col("top").alias("up"))))
-    open_ones = commands.select("src", F.col("bottom").alias("node"), (F.col("steps") + 1).alias("count"))
+    every = commands.select("src", F.col("bottom").alias("node"), (F.col("steps") + 1).cast("long").alias("count"))
+    done = [every.filter("count = 1")]
+    open_ones = cut(every.filter("count > 1"))
     for k in reversed(range(len(jumps))):
         size = 1 << k
         # The upper part of more than 2^k nodes starts 2^k above.
         long = open_ones.filter(F.col("count") > size).join(jumps[k].withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"))
         upper = long.select("src", F.col("up").alias("node"), (F.col("count") - size).alias("count"))
-        open_ones = open_ones.withColumn("count", F.least("count", F.lit(size).cast("long"))).unionByName(upper)
-    return open_ones.select("src", F.col("node").alias("dst"))
+        split = cut(open_ones.withColumn("count", F.least("count", F.lit(size).cast("long"))).unionByName(upper))
+        done.append(split.filter("count = 1"))
+        open_ones = split.filter("count > 1")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.select("src", F.col("node").alias("dst"))
 
 
 def holds(commands: DataFrame, parents: DataFrame, probes: DataFrame, vertices: int | None = None) -> DataFrame:

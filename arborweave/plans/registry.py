@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,9 @@ from arborweave.functions import vbyte
 from arborweave.operators import analytics, codecs, forest, relabel, report
 from arborweave.plans import oracles as sql
 from arborweave.plans.graphs import GRAPHS, graph
-from arborweave.session import cut
-from arborweave.sources.edges import vertices
+from arborweave.session import cut, shared_dir
+from arborweave.sources import reports
+from arborweave.sources.edges import dataset_name, parsed_edges, reject_count, vertices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -102,7 +104,7 @@ METRIC_SQL = "(SELECT sum(steps + 1) AS n, sum(" + sql.COST + ") AS b FROM {0})"
 for _g in GRAPHS:
     register(f"adjacency_{_g}", _query(_g, lambda g: g.adj), sql.with_adj(_g, " SELECT src, dst FROM adj"))
     register(f"degree_{_g}", _query(_g, lambda g: relabel.degrees(g.adj)), sql.with_adj(_g, " SELECT src AS id, count(*) AS degree FROM adj GROUP BY src"))
-    register(f"edge_stats_{_g}", _query(_g, lambda g: g.adj.agg(F.count("*").alias("n_edges"), (F.max(F.greatest("src", "dst")) + 1).alias("n_vertices"), F.countDistinct("src").alias("n_rows"))), sql.with_adj(_g, " SELECT count(*) AS n_edges, max(greatest(src, dst)) + 1 AS n_vertices, count(DISTINCT src) AS n_rows FROM adj"))
+    register(f"edge_stats_{_g}", _query(_g, lambda g: g.adj.agg(F.count("*").alias("n_edges"), (F.coalesce(F.max(F.greatest("src", "dst")), F.lit(-1)) + 1).alias("n_vertices"), F.countDistinct("src").alias("n_rows"))), sql.with_adj(_g, " SELECT count(*) AS n_edges, coalesce(max(greatest(src, dst)), -1) + 1 AS n_vertices, count(DISTINCT src) AS n_rows FROM adj"))
     register(f"raw_metrics_{_g}", _query(_g, lambda g: codecs.raw_metrics(g.adj)), sql.with_adj(_g, " " + sql.metrics("raw32", "n", "(n * 4)", "(SELECT count(*) AS n FROM adj)")))
     register(f"holds_{_g}", _query(_g, lambda g: codecs.holds(g.commands, g.parents, g.adj.select(F.col("dst").alias("src"), (F.col("src") + F.col("dst") % 2).alias("dst")), g.n_vertices)), sql.with_adj(_g, " SELECT p.src, p.dst FROM (SELECT dst AS src, src + dst % 2 AS dst FROM adj) p SEMI JOIN adj a ON a.src = p.src AND a.dst = p.dst"))
     register(f"relabel_degree_{_g}", _query(_g, lambda g: relabel.by_degree(g.adj, g.vertices)), sql.with_adj(_g, f", {sql.RELABEL_DEGREE} SELECT old_id, new_id FROM by_degree"))
@@ -208,8 +210,8 @@ def _pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("command_words", _pack, sql.with_adj("cust_part", f" SELECT src, dst, (dst << 1) | (CASE WHEN src % 2 = 0 THEN 1 ELSE 0 END) AS word, dst AS node, src % 2 = 0 AS is_path, CAST({sql.VLEN.format('(dst * 2)')} AS BIGINT) AS single, CAST(({sql.VLEN.format('(dst * 2 + 1)')}) + ({sql.VLEN.format('src')}) AS BIGINT) AS path FROM adj"))
 
 
-def _cross_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain against encoded results of the three analytics on two graphs, summed up."""
+def _cross_check_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain and encoded results of the three analytics on two graphs."""
     rows = []
     for name in ("page_link", "supp_pair"):
         g = Graph(spark, sf_dir, name)
@@ -220,10 +222,46 @@ def _cross_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
             (analytics.bfs_levels(g.adj, start).count(), analytics.bfs_levels_encoded(g.commands, g.parents, start, g.n_vertices).count()),
         )
         rows += [(f"{name}_{k}", a, b) for k, (a, b) in zip(("components", "triangles", "bfs"), pairs)]
-    return analytics.accuracy(spark.createDataFrame(rows, "dataset string, plain long, encoded long"))
+    return spark.createDataFrame(rows, "dataset string, plain long, encoded long")
 
 
-register("cross_checks", _cross_checks, "SELECT 6::BIGINT AS checked, 6::BIGINT AS correct, 0::BIGINT AS failed, 100.0::DOUBLE AS accuracy_pct")
+_counted = " UNION ALL ".join(
+    f"SELECT '{g}_{what}' AS dataset, n AS plain, n AS encoded FROM ({sql.with_adj(g, body, recursive=True)})"
+    for g in ("page_link", "supp_pair")
+    for what, body in (("components", f", {sql.LABELS} SELECT count(DISTINCT component) AS n FROM labels"), ("triangles", f", {sql.TRIANGLES} SELECT count(*) AS n FROM tri"), ("bfs", f", {sql.BFS} SELECT count(*) AS n FROM levels"))
+)
+register("cross_check_counts", _cross_check_counts, _counted)
+register("cross_checks", lambda s, d: analytics.accuracy(_cross_check_counts(s, d)), f"SELECT count(*) AS checked, count(*) FILTER (plain = encoded) AS correct, count(*) FILTER (plain <> encoded) AS failed, round(count(*) FILTER (plain = encoded) * 100.0::DOUBLE / count(*), 4) AS accuracy_pct FROM ({_counted})")
+
+#: A line of text for each row of lineitem, of a kind that its order's number names.
+LINES = """CASE CAST(l_orderkey % 9 AS INT)
+  WHEN 0 THEN concat(l_partkey, ' ', l_suppkey) WHEN 1 THEN concat(l_partkey, ',', l_suppkey, ',0.5') WHEN 2 THEN concat('# ', l_partkey, ' ', l_suppkey)
+  WHEN 3 THEN concat('%', l_partkey, ' ', l_suppkey) WHEN 4 THEN concat(l_suppkey, ' ', l_suppkey) WHEN 5 THEN concat('x ', l_suppkey) WHEN 6 THEN ''
+  WHEN 7 THEN concat('   ', l_partkey, ' , ', l_suppkey, ' tail') ELSE concat(4294967296 + l_partkey, ' ', l_suppkey) END"""
+
+
+def _text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """value, file, line: lineitem as the lines of four files."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.select(F.expr(LINES).alias("value"), F.concat(F.lit("/graphs/part."), F.col("l_orderkey") % 4, F.lit(".edges")).alias("file"), F.struct("l_orderkey", "l_linenumber").alias("line"))
+
+
+register("edge_lines", lambda s, d: parsed_edges(_text_lines(s, d)), "SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_orderkey % 9 IN (0, 1, 7) AND l_partkey <> l_suppkey")
+register("edge_lines_mtx", lambda s, d: parsed_edges(_text_lines(s, d), "mtx", "file").select(dataset_name(F.col("file")).alias("dataset"), "src", "dst"), """WITH l AS (SELECT *, l_orderkey % 4 AS f, l_orderkey % 9 IN (2, 3, 6) AS skipped FROM lineitem),
+size_line AS (SELECT f, min((l_orderkey, l_linenumber)) AS first_one FROM l WHERE NOT skipped GROUP BY f)
+SELECT concat('part.', l.f) AS dataset, l_partkey AS src, l_suppkey AS dst FROM l JOIN size_line s ON s.f = l.f WHERE (l_orderkey, l_linenumber) > first_one AND l_orderkey % 9 IN (0, 1, 7) AND l_partkey <> l_suppkey""")
+register("edge_line_kinds", lambda s, d: reject_count(_text_lines(s, d)), """SELECT CASE WHEN k IN (2, 3) THEN 'comment' WHEN k = 6 THEN 'blank' WHEN k IN (5, 8) THEN 'rejected' WHEN k = 4 OR l_partkey = l_suppkey THEN 'self_loop' ELSE 'edge' END AS line_kind, count(*) AS n_lines
+FROM (SELECT l_orderkey % 9 AS k, l_partkey, l_suppkey FROM lineitem) GROUP BY line_kind""")
+register("dataset_names", lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", dataset_name(F.expr("concat('/data.d/', c_mktsegment, '/', c_name, CASE WHEN c_custkey % 2 = 0 THEN '.edges' ELSE '' END)")).alias("dataset")), "SELECT c_custkey, c_name AS dataset FROM customer")
+
+
+def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as console text, with unknown prices and flags."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return reports.console_table(orders.select("o_orderkey", F.expr("CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END").alias("price"), F.expr("CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 3 = 1 END").alias("flag")))
+
+
+register("console_rows", _shown, "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_orderstatus <> 'F' AND o_totalprice IS NOT NULL THEN printf('%.4f', o_totalprice) ELSE '' END AS price, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'YES' ELSE 'NO' END AS flag FROM orders")
 
 
 def _report_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -251,5 +289,35 @@ def _report_sql(tail: str) -> str:
 ORDER = ["raw32", "SOTA", "delta_vbyte"]
 register("report_merge", lambda s, d: report.with_ratio(report.merge_results(*_report_rows(s, d), ORDER), "raw32").withColumn("ratio_pct", F.round("ratio_pct", 6)), _report_sql("""SELECT *, CAST(list_position(['raw32', 'SOTA', 'delta_vbyte'], "Algorithm") - 1 AS INTEGER) AS algo_rank, round("BPE" / 32.0::DOUBLE * 100, 6) AS ratio_pct FROM (SELECT * FROM own UNION ALL SELECT * FROM ext)"""))
 register("report_insert_external", lambda s, d: report.insert_external(*_report_rows(s, d), "raw32", "tree_vbyte"), _report_sql("""SELECT *, CASE WHEN "Algorithm" = 'raw32' THEN 0.0::DOUBLE ELSE 2.0::DOUBLE END AS place FROM own UNION ALL SELECT d."Dataset", 'SOTA', e."Data_MB", e."BPE", e."Correct", 0.5::DOUBLE FROM (SELECT DISTINCT "Dataset" FROM own) d LEFT JOIN ext e ON e."Dataset" = d."Dataset" """))
+
+
+def _report_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/reports/{uuid.uuid4().hex}"
+
+
+def _report_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric rows written as CSV and read again."""
+    own, _ = _report_rows(spark, sf_dir)
+    path = _report_folder(spark)
+    reports.write_report(own, path)
+    return reports.read_benchmark(spark, path)
+
+
+def _external_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two external tables made from nations, one of ratios and one of full rows with repaired headers."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    ratio, full = _report_folder(spark), _report_folder(spark)
+    rows = {
+        ratio: F.expr("concat_ws('\n', CASE WHEN n_nationkey = 0 THEN ' Dataset , Ratio_%' END, concat(n_name, ',', n_nationkey))"),
+        full: F.expr("concat_ws('\n', CASE WHEN n_nationkey = 0 THEN 'Dataset,Algorithm,Data_MB,BPE,Correct' END, concat(n_name, ',the SOTA one,', n_regionkey, ',1,0'), concat(n_name, ',sota,', n_regionkey, ',', n_nationkey, ',1'), concat(n_name, ',other,9,9,1'))"),
+    }
+    for path, lines in rows.items():
+        nations.orderBy("n_nationkey").coalesce(1).sortWithinPartitions("n_nationkey").select(lines.alias("value")).write.text(path)
+    return reports.read_external(spark, ratio).select(F.lit("ratio").alias("form"), "*").unionByName(reports.read_external(spark, full).select(F.lit("full").alias("form"), "*"))
+
+
+register("report_round_trip", _report_round_trip, _report_sql("SELECT * FROM own"))
+register("report_external_files", _external_files, """SELECT 'ratio' AS form, n_name AS "Dataset", 'SOTA' AS "Algorithm", NULL::DOUBLE AS "Data_MB", n_nationkey * 32.0::DOUBLE / 100.0 AS "BPE", 1.0::DOUBLE AS "Correct" FROM nation
+UNION ALL SELECT 'full', n_name, 'SOTA', n_regionkey::DOUBLE, n_nationkey::DOUBLE, 1.0::DOUBLE FROM nation""")
 register("report_wide", lambda s, d: report.wide_table(report.merge_results(*_report_rows(s, d), ORDER), ORDER), _report_sql("""SELECT "Dataset", max("BPE") FILTER ("Algorithm" = 'raw32') AS raw32, max("BPE") FILTER ("Algorithm" = 'SOTA') AS "SOTA", max("BPE") FILTER ("Algorithm" = 'delta_vbyte') AS delta_vbyte FROM (SELECT * FROM own UNION ALL SELECT * FROM ext) GROUP BY "Dataset" """))
 register("report_ratio_curves", lambda s, d: report.ratio_curves(report.merge_results(*_report_rows(s, d), ORDER), "raw32").withColumn("ratio_pct", F.round("ratio_pct", 6)), _report_sql("""SELECT "Dataset", "Algorithm", round("BPE" / 32.0::DOUBLE * 100, 6) AS ratio_pct FROM (SELECT * FROM own UNION ALL SELECT * FROM ext)"""))

@@ -40,7 +40,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, or, in local mode alone, one of our own where it is unset."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
     current = context.getCheckpointDir()
@@ -49,6 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named.rstrip("/")
     if current is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir("file://" + _own_folder("arborweave-checkpoint-"))
         current = context.getCheckpointDir()
     return str(current).rstrip("/")
@@ -63,11 +65,13 @@ def cut(df: DataFrame) -> DataFrame:
 def table(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, for rows that hold texts.
 
-    Unlike a checkpoint the files are compressed and columnar. They stay until the folder is cleared.
+    Unlike a checkpoint the files are compressed and columnar. They stay until the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,22 +11,22 @@ MAX_ID = (1 << 32) - 1
 EDGE = r"^\s*([0-9]+)\s+([0-9]+)"
 
 
-def parsed_edges(lines: DataFrame, fmt: str = "edges") -> DataFrame:
-    """src, dst of every line of ``value`` that holds an edge.
+def parsed_edges(lines: DataFrame, fmt: str = "edges", *kept: str) -> DataFrame:
+    """src, dst, and the columns ``kept``, of every line of ``value`` that holds an edge.
 
     Comments (``#`` or ``%`` first), blank lines, lines without two leading non-negative integers up to 2^32 - 1, and
     self-loops are left out. Commas count as white space; what follows the second number is ignored.
-    ``fmt='mtx'`` also leaves out the size line, the first line that is no comment; it needs the column ``line`` (number in the file) and ``file``.
+    ``fmt='mtx'`` also leaves out the size line, the first line that is no comment; it needs the columns ``line`` (anything in the lines' order) and ``file``.
     """
     value = F.translate("value", ",", " ")
-    kept = lines.filter((F.col("value") != "") & ~F.col("value").rlike("^[#%]"))
+    found = lines.filter((F.col("value") != "") & ~F.col("value").rlike("^[#%]"))
     if fmt == "mtx":
-        first = kept.filter(F.trim("value") != "").groupBy("file").agg(F.min("line").alias("__size_line"))
-        kept = kept.join(first, "file").filter(F.col("line") > F.col("__size_line"))
+        first = found.filter(F.trim("value") != "").groupBy("file").agg(F.min("line").alias("__size_line"))
+        found = found.join(first, "file").filter(F.col("line") > F.col("__size_line"))
     elif fmt != "edges":
         raise ValueError(f"unknown edge format {fmt!r}")
     number = [F.regexp_extract(value, EDGE, i).try_cast("bigint") for i in (1, 2)]
-    pairs = kept.select(number[0].alias("src"), number[1].alias("dst"))
+    pairs = found.select(*kept, number[0].alias("src"), number[1].alias("dst"))
     return pairs.filter((F.col("src") <= MAX_ID) & (F.col("dst") <= MAX_ID) & (F.col("src") != F.col("dst")))
 
 
@@ -39,12 +39,15 @@ def reject_count(lines: DataFrame) -> DataFrame:
     return lines.groupBy(what.alias("line_kind")).agg(F.count("*").alias("n_lines"))
 
 
+def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """value, file, line: the place of the file's part that a line was read from, and the line's number within what one task read."""
+    order = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("number"))
+    return spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), order.alias("line"))
+
+
 def read_edges(spark: SparkSession, paths: str | list[str], fmt: str = "edges") -> DataFrame:
     """src, dst of one text file or several; a missing file raises Spark's path error."""
-    lines = spark.read.text(paths)
-    if fmt == "mtx":
-        lines = lines.select("value", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") + F.monotonically_increasing_id()).alias("line"))
-    return parsed_edges(lines, fmt)
+    return parsed_edges(_lines(spark, paths), fmt)
 
 
 def dataset_name(path: Column) -> Column:
@@ -54,11 +57,8 @@ def dataset_name(path: Column) -> Column:
 
 def read_datasets(spark: SparkSession, paths: Iterable[str], fmt: str = "edges") -> DataFrame:
     """dataset, src, dst of many files in one scan; the dataset is named after the file."""
-    lines = spark.read.text(list(paths)).withColumn("dataset", dataset_name(F.col("_metadata.file_path")))
-    value = F.translate("value", ",", " ")
-    kept = lines.filter((F.col("value") != "") & ~F.col("value").rlike("^[#%]"))
-    pairs = kept.select("dataset", *[F.regexp_extract(value, EDGE, i).try_cast("bigint").alias(n) for i, n in ((1, "src"), (2, "dst"))])
-    return pairs.filter((F.col("src") <= MAX_ID) & (F.col("dst") <= MAX_ID) & (F.col("src") != F.col("dst")))
+    lines = _lines(spark, list(paths)).withColumn("dataset", dataset_name(F.col("file")))
+    return parsed_edges(lines, fmt, "dataset")
 
 
 def adjacency(edges: DataFrame, directed: bool = False) -> DataFrame:

@@ -27,7 +27,7 @@ def _number(c: Column) -> Column:
 
 
 def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
-    """Dataset, Algorithm, Data_MB, BPE, Correct of a benchmark file with or without a MEPS column.
+    """Dataset, Algorithm, Data_MB, BPE, Correct of a benchmark file, and MEPS where it has that column.
 
     A row with too many cells had thousands separators in Data_MB: the cells between the first two and the last ones are
     joined. Shorter rows are dropped, as are rows without Dataset, Algorithm or BPE; other bad numbers become null.
@@ -41,6 +41,8 @@ def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
     kept = rows.filter(n >= width)
     middle = F.array_join(F.slice("cells", F.lit(3), n - 2 - behind), "")
     cell = {"Dataset": F.col("cells")[0], "Algorithm": F.col("cells")[1], "Data_MB": _number(middle), "BPE": _number(F.element_at("cells", -behind)), "Correct": _number(F.element_at("cells", -1))}
+    if behind == 3:
+        cell["MEPS"] = _number(F.element_at("cells", -2))
     out = kept.select(*[F.when(v != "", v).alias(k) if k in ("Dataset", "Algorithm") else v.alias(k) for k, v in cell.items()])
     return out.dropna(subset=["Dataset", "Algorithm", "BPE"])
 

@@ -83,7 +83,7 @@ def test_benchmark_reader_repairs(spark, tmp_path):
     assert got == {"g": (1234.5, 8.0, 1.0), "i": (2.5, 7.5, None)}
     assert reports.malformed_rows(spark, str(path)) == 2
     path.write_text("Dataset,Algorithm,Data_MB,BPE,MEPS,Correct\ng,Algo,1,234.5,8.0,300.1,1\n")
-    assert [tuple(r) for r in reports.read_benchmark(spark, str(path)).collect()] == [("g", "Algo", 1234.5, 8.0, 1.0)]
+    assert [r.asDict() for r in reports.read_benchmark(spark, str(path)).collect()] == [{"Dataset": "g", "Algorithm": "Algo", "Data_MB": 1234.5, "BPE": 8.0, "MEPS": 300.1, "Correct": 1.0}]
     path.write_text("")
     assert reports.read_benchmark(spark, str(path)).isEmpty()
 
@@ -118,3 +118,25 @@ def test_report_sink(spark, tmp_path):
 def test_dataset_name(spark):
     df = spark.createDataFrame([("/a/b.c/web-x.edges",), ("plain",), ("C:\\d\\e.mtx",)], "p string")
     assert [r[0] for r in df.select(edges.dataset_name(F.col("p"))).collect()] == ["web-x", "plain", "e"]
+
+
+def test_datasets_of_matrix_files(spark, tmp_path):
+    """Every file's own size line is left out, and only that."""
+    for name in ("one", "two"):
+        (tmp_path / f"{name}.mtx").write_text("%%MatrixMarket\n% note\n9 4 3\n1 2\n9 4\n3 1\n")
+    paths = [str(tmp_path / f"{name}.mtx") for name in ("one", "two")]
+    got = sorted(map(tuple, edges.read_datasets(spark, paths, "mtx").collect()))
+    assert got == [(d, a, b) for d in ("one", "two") for a, b in ((1, 2), (3, 1), (9, 4))]
+    assert edges.read_datasets(spark, paths).count() == 8
+    with pytest.raises(ValueError, match="unknown edge format"):
+        edges.read_datasets(spark, paths, "csv")
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from arborweave.session import shared_dir
+
+    context = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda _: None), getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=context))
