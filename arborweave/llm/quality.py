@@ -4,7 +4,8 @@ Chunks of a text are compressed with either dictionary; text compresses better w
 its own kind. The normalised difference of compressed sizes, over the whole text and in its worst part,
 goes through a logistic curve that is calibrated on labelled rows that built no dictionary.
 
-The fit sees at most ``SAMPLE`` labelled training rows (by hash of doc_id, a documented bound); every text is scored in whole.
+The fit sees at most ``SAMPLE`` labelled training rows (by hash of doc_id, a documented bound): about ``DICTIONARY_ROWS`` of either kind build
+its dictionary, each with an excerpt of equal length, and all others calibrate. Every text is scored in whole.
 
 Edge cases: null and empty texts get the share of good rows among the fit's rows; without labelled rows of both kinds
 every score is the share of good rows (0.5 if there are none); repeated rows get equal scores; conflicting labels of one doc_id
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from arborweave.session import cut, ship
 
 SAMPLE = 8_000
-#: Bytes of training text in a dictionary, of a row in it, and of a chunk that is compressed on its own.
-DICTIONARY, ROW_BYTES, CHUNK = 112 << 10, 1_200, 1_024
+#: Bytes of training text in a dictionary, and of a chunk that is compressed on its own.
+DICTIONARY, CHUNK = 112 << 10, 1_024
+#: Rows of either kind that build its dictionary, about (half of the sampled rows at most), and bytes that one row may give to it.
+DICTIONARY_ROWS, ROW_BYTES = 400, 1_200
 LEVEL = 3
 CUTOFF = 0.3
 FOLDS = 5
@@ -56,15 +59,9 @@ def excerpt(text: str | None) -> bytes:
 
 
 def dictionary(excerpts: list[bytes]) -> bytes:
-    """Raw dictionary content: the beginnings of all excerpts at equal length, as long as all of them leave room."""
-    share = max(256, DICTIONARY // max(1, len(excerpts)))
-    parts, size = [], 0
-    for raw in excerpts:
-        if size + min(len(raw), share) > DICTIONARY:
-            break
-        parts.append(raw[:share])
-        size += len(parts[-1])
-    return b"\n".join(parts)
+    """Raw dictionary content: the beginnings of all excerpts at equal length."""
+    share = DICTIONARY // max(1, len(excerpts))
+    return b"\n".join(raw[:share] for raw in excerpts)
 
 
 @dataclass
@@ -154,6 +151,11 @@ def _mapped(rows: DataFrame, made, schema: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _building(counts: dict[int, int], share: dict[int, float], kind: int) -> float:
+    """Share of a kind's sampled rows that builds its dictionary."""
+    return min(0.5, DICTIONARY_ROWS / max(1.0, counts.get(kind, 0) * share.get(kind, 1.0)))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> Model:
     """Fit on at most about ``sample`` labelled rows outside the held-out fold.
 
@@ -173,7 +175,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     chosen = F.broadcast(marked.filter(drawn < limit))  # at most about ``sample`` narrow rows
     place = F.xxhash64("doc_id", "text", "quality")
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id") == F.col("__id")).select(place.alias("place"), "quality", "text"))
-    odd = F.col("place").bitwiseAND(F.lit(1)) == 1  # half builds dictionaries, half calibrates
+    # Of each kind about DICTIONARY_ROWS rows build its dictionary, all others calibrate.
+    builds = F.when(F.col("quality") == 1, F.lit(_building(counts, share, 1))).otherwise(F.lit(_building(counts, share, 0)))
+    odd = F.shiftrightunsigned("place", 11) / F.lit(float(1 << 53)) < builds
 
     def excerpts():
         return lambda texts: pa.array([excerpt(t) for t in texts], pa.binary())

@@ -181,3 +181,98 @@ def phrase_likeness(a: str, b: str) -> float:
     x, y = ({(level, part): min(len(part) / 8, 1) ** 3 for level, _, part in phrases(t)} for t in (a, b))
     union = x | y
     return sum(w for k, w in union.items() if k in x and k in y) / sum(union.values()) if union else 1.0
+
+
+def best_fit(lengths: list[int], capacity: int) -> int:
+    """Number of sequences when each piece, longest first, goes where the least room is left that holds it."""
+    room: list[int] = []
+    for n in lengths:
+        fitting = [r for r in room if r >= n]
+        if fitting:
+            room.remove(min(fitting))
+        room.append((min(fitting) if fitting else capacity) - n)
+    return len(room)
+
+
+def _keyed(key: str, *parts) -> int:
+    return int(hashlib.sha256("|".join([key, *map(str, parts)]).encode()).hexdigest()[:15], 16)
+
+
+def feistel(a: int, b: int, a_mod: int, b_mod: int, key: str, tweak: str) -> tuple[int, int]:
+    for i in range(8):
+        if i % 2 == 0:
+            a = (a + _keyed(key, tweak, i, b)) % a_mod
+        else:
+            b = (b + _keyed(key, tweak, i, a)) % b_mod
+    return a, b
+
+
+def permuted_digits(digits: str, key: str, tweak: str) -> str:
+    n, left = len(digits), len(digits) // 2
+    a, b = feistel(int(digits[:left]), int(digits[left:]), 10**left, 10 ** (n - left), key, f"{tweak}:{n}")
+    return f"{a:0{left}}{b:0{n - left}}"
+
+
+def _refilled(form: str, digits: str) -> str:
+    left = iter(digits)
+    return "".join(next(left) if c.isdigit() else c for c in form)
+
+
+def pseudonym(kind: str, value: str, key: str) -> str:
+    """What a value becomes; dates are year first or, with slashes, day first."""
+    digits = "".join(c for c in value if c.isdigit())
+    if kind == "card":
+        body = permuted_digits(digits[:-1], key, "card")
+        return _refilled(value, next(body + c for c in "0123456789" if luhn(body + c)))
+    if kind in ("ssn", "phone"):
+        prefix = re.match(r"\+\d{1,3}(?=[ .(-])", value)[0] if value.startswith("+") else ""
+        rest = value[len(prefix) :]
+        return prefix + _refilled(rest, permuted_digits("".join(c for c in rest if c.isdigit()), key, kind))
+    if kind == "ip":
+        p = list(map(int, value.split(".")))
+        a, b = feistel(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, key, "ip")
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if kind == "date":
+        from datetime import date, timedelta
+
+        day = date.fromisoformat(value) if "-" in value else date(*map(int, reversed(value.split("/"))))
+        a, b = feistel(*divmod((day - date(1800, 1, 1)).days, 773), 189, 773, key, "date")
+        new = date(1800, 1, 1) + timedelta(a * 773 + b)
+        return new.isoformat() if "-" in value else f"{new.day:02}/{new.month:02}/{new.year:04}"
+    raise ValueError(kind)
+
+
+def language_model(rows: list[tuple[str | None, str]]) -> tuple[list[str], list[list[float]], list[float]]:
+    """Languages, log probability of each bucket by language, log priors; of (text, lang)."""
+    languages = sorted({lang for _, lang in rows})
+    counts = {k: [0.5] * (1 << 15) for k in languages}
+    for text, lang in rows:
+        for b in gram_buckets(text):
+            counts[lang][b] += 1
+    prior = [math.log((sum(x == k for _, x in rows) + 1) / (len(rows) + len(languages))) for k in languages]
+    return languages, [[math.log(c / total) for c in counts[k]] for k in languages for total in [sum(counts[k])]], prior
+
+
+def gram_buckets(text: str | None) -> list[int]:
+    """Buckets of the n-grams of one to four characters of the lower-cased letters between single spaces."""
+    kept = re.sub(r"[\W\d_]+", " ", text or "").strip().lower()
+    if not any(map(str.isalpha, kept)):
+        return []
+    kept, out = f" {kept} ", []
+    for n in (1, 2, 3, 4):
+        for i in range(len(kept) - n + 1):
+            h = 0
+            for c in kept[i : i + n]:
+                h = (h * 0x01000193 + ord(c) * 0x9E3779B1) & 0xFFFFFFFF
+            out.append((((h ^ h >> 15) * 0x85EBCA6B + n) & 0xFFFFFFFF) >> 17)
+    return out
+
+
+def language(text: str | None, model) -> tuple[str, float]:
+    found = gram_buckets(text)
+    languages, table, prior = model
+    if not found or not languages:
+        return "und", 0.0
+    total = [sum(t[b] for b in found) / 4 + p for t, p in zip(table, prior)]
+    best = max(range(len(total)), key=lambda i: (total[i], -i))
+    return languages[best], 1 / sum(math.exp(x - total[best]) for x in total)

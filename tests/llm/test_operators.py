@@ -421,6 +421,46 @@ def test_pseudonyms_keep_formats(spark):
         assert len({t.split()[kind + 1] for t in out}) == 40
 
 
+def test_pseudonyms_are_plain_feistel_ones(spark):
+    from datetime import date
+
+    r = random.Random(14)
+    values = [("card", card(r)) for _ in range(12)]
+    values += [("card", " ".join(c[i : i + 4] for i in range(0, 16, 4))) for c in (card(r) for _ in range(6))]
+    values += [("ip", ".".join(str(r.randrange(256)) for _ in range(4))) for _ in range(12)]
+    days = [date.fromordinal(date(1800, 1, 1).toordinal() + r.randrange(146_097)) for _ in range(24)]
+    values += [("date", d.isoformat()) for d in days[:12]] + [("date", f"{d:%d/%m}/{d.year:04}") for d in days[12:]]
+    values += [("ssn", "123-45-6789"), ("ssn", "001-02-0003"), ("phone", "555-123-4567"), ("phone", "(415) 555-2671"), ("phone", "+44 20 7946 0958"), ("phone", "+1 (017) 555-7713")]
+    out = masked(spark, [f"see {v} there" for _, v in values], "key")
+    assert out == [f"see {plain.pseudonym(k, v, 'key')} there" for k, v in values]
+
+
+@pytest.mark.parametrize("size", [10_000, 120_000])
+def test_long_unbroken_texts(spark, size):
+    """Runs that make a recursive or backtracking pattern overflow its stack or take quadratic time."""
+    units = ["ab-", "a/b_", "x", "1", "-", "ab=Cd1/", "token=abc123x ", "wJalrXUtnFEMI7K7MDENGbPxRfiCYz ", "token='", "😀é", ".", "b.", "1.", "1-", "+1 ", "@", "a@", "a@b.", "12/", "1999-12-", "x@b.co,", "_", "%", "+"]
+    texts = [(u * (size // len(u))) for u in units] + ["a@" + "b." * (size // 2) + "com", "a." * (size // 2) + "@x.com", "1-" * (size // 2) + "@x.com", "password" + " " * size, "4111 1111 1111 1111 " * (size // 2000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8).cache()
+    spans = {r["doc_id"]: r for r in secrets.secret_spans(df).collect()}
+    for i in (0, 2, 6, 8, 9):
+        assert [x for x in spans[i]["spans"].split(",") if x and not x.startswith("entropy")] == [x for x in plain.joined(plain.base_spans(texts[i])).split(",") if x]
+    hidden = {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()}
+    assert hidden[0] == texts[0] and hidden[6] == "[SECRET] " * (size // len(units[6]))
+    out = {r["doc_id"]: r for r in pii.pseudonyms(df, "k").collect()}
+    assert len(out) == len(texts) and all(len(out[i]["text"]) == len(texts[i]) for i in (0, 2, 10, 13, 24))
+    ends = [out[len(units)], out[len(units) + 1], out[len(units) + 2], out[len(units) + 4]]
+    assert [r["n_email"] for r in ends[:3]] == [1, 1, 1] and ends[3]["n_card"] == size // 2000
+
+
+def test_addresses_with_odd_ends(spark):
+    texts = ["to joe.b@mail.example.com. Then", "x@b.com1 y", "x@a.com.c2 y", "no@domain", "no@b.c", "a@b..com", "(415) 555-2671-joe@x.com"]
+    out = masked(spark, texts)
+    assert out[3:6] == texts[3:6] and all(a != b for a, b in zip(out[:3], texts)) and "joe@" not in out[6]
+    assert out[0].endswith("@mail.example.com. Then") and out[1].endswith("@b.com1 y") and out[2].endswith("@a.com.c2 y")
+    same = masked(spark, ["x@b.com1", "x@b.com"])
+    assert same[0][:-1] == same[1]
+
+
 def test_pseudonyms_link_and_leave(spark):
     same = ["mail Ann.Lee7@mail3.example.com now", "x Ann.Lee7@mail3.example.com", "+1 (017) 555-7713 and 555-123-4567", "call +1 (017) 555-7713", "ssn 123-45-6789.", "on 03/04/1999 and 3.4.1999 then 1999/03/04"]
     out = masked(spark, same)
@@ -497,8 +537,8 @@ def test_plan_fits(histogram):
             assert offset == end
             end += length
         assert end <= 64
-    total = sum(k * n for k, n in histogram.items())
-    assert len(filled) <= 1.7 * total / 64 + 1
+    assert len(filled) == plain.best_fit([k for k in sorted(histogram, reverse=True) for _ in range(histogram[k])], 64)
+    assert len(filled) >= -(-sum(k * n for k, n in histogram.items()) // 64)
 
 
 def test_word_tokenizer_is_exact():

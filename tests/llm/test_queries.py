@@ -101,6 +101,13 @@ def test_op6(spark, tables, rows):
     assert set(slots) <= set(range(8))
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
     assert sorted(r["doc_id"] for r in got) == sorted(text)
+    # A k-d tree: at each node one dimension tells the two halves apart, and their bytes are near equal but for one text.
+    by_size, by_crc = (lambda r: (r["size"], r["text_crc32"], r["doc_id"])), (lambda r: (r["text_crc32"], r["size"], r["doc_id"]))
+    for first, leaves in ((0, 8), (0, 4), (4, 4), (0, 2), (2, 2), (4, 2), (6, 2)):
+        low, high = ([r for r in got if a <= r["shard"] < a + leaves // 2] for a in (first, first + leaves // 2))
+        assert any(max(map(key, low)) < min(map(key, high)) for key in (by_size, by_crc))
+        sizes = [sum(r["size"] for r in x) for x in (low, high)]
+        assert abs(sizes[0] - sizes[1]) <= 2 * max(r["size"] for r in low + high)
 
 
 def test_op7(spark, tables, rows):
@@ -117,6 +124,11 @@ def test_op7(spark, tables, rows):
 def test_op8(spark, tables, rows):
     got = by_id(Q["op8_ngram_language"](spark, tables))
     right = []
+    model = plain.language_model([(t, lang) for d, t, lang, *_ in rows if lang is not None and plain.crc_mod(d, 3) != 1])
+    for d, t, *_ in rows[::4]:
+        if len(t or "") < 5_000:
+            name, score = plain.language(t, model)
+            assert got[d]["lang_pred"] == name and got[d]["score"] == pytest.approx(score, abs=1e-3)
     for d, t, lang, *_ in rows:
         assert got[d]["held_out"] == (plain.crc_mod(d, 3) == 1) and 0 <= got[d]["score"] <= 1
         if not any(map(str.isalpha, t or "")):
