@@ -67,32 +67,68 @@ class _Slots:
         return parent, *self.held[parent]
 
 
+def _without_eviction(child: np.ndarray, parent: np.ndarray, score: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Winners (child, parent, score, support) of the children that have SLOTS candidates at most, and a mask of the other children's rows.
+
+    Rows are whole children in row order. A candidate's scores are added up in that order, as the slots would.
+    """
+    order = np.lexsort((parent, child))  # stable: a pair's rows stay in order
+    c, p = child[order], parent[order]
+    new = np.ones(len(c), dtype=bool)
+    new[1:] = (c[1:] != c[:-1]) | (p[1:] != p[:-1])
+    pair = np.cumsum(new) - 1
+    c, p = c[new], p[new]
+    sums, support = np.zeros(len(c)), np.bincount(pair)
+    np.add.at(sums, pair, score[order])
+    best = np.lexsort((p, -support, -sums, c))
+    starts = np.flatnonzero(np.diff(c, prepend=c[0] - 1))
+    few = np.diff(starts, append=len(c)) <= SLOTS
+    chosen = best[starts[few]]
+    return [c[chosen], p[chosen], sums[chosen], support[chosen]], np.isin(child, c[starts[~few]])
+
+
 def slot_winners(rows: DataFrame) -> DataFrame:
     """child, parent, score, support of each child's best candidate.
 
     Slots are evicted in row order, so a child's pairs are folded in that order: pairs go to
-    partitions by child and stream through in constant memory per child, a child with any number of rows included.
+    partitions by child and stream through in constant memory per child, a child with any number of rows included. Children whose
+    rows lie in one batch and who fill no more than their slots are done at once; only the others go row by row.
     """
+    names = ["child", "parent", "score", "support"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        child, slots, out = None, _Slots(), []
-        for batch in batches:
-            for c, p, s in zip(*[batch.column(n).to_pylist() for n in ("child", "parent", "score")]):
-                if c != child:
-                    if child is not None:
-                        out.append((child, *slots.winner()))
-                    child, slots = c, _Slots()
+        open_child, slots = None, _Slots()
+
+        def folded(child: np.ndarray, parent: np.ndarray, score: np.ndarray) -> list[tuple]:
+            """Feeds rows one by one; winners of the children that end among them."""
+            nonlocal open_child, slots
+            out = []
+            for c, p, s in zip(child.tolist(), parent.tolist(), score.tolist()):
+                if c != open_child:
+                    if open_child is not None:
+                        out.append((open_child, *slots.winner()))
+                    open_child, slots = c, _Slots()
                 slots.feed(p, s)
-            if len(out) > 10_000:
-                yield _batch(out)
-                out = []
-        if child is not None:
-            out.append((child, *slots.winner()))
-        if out:
-            yield _batch(out)
-
-    def _batch(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["child", "parent", "score", "support"])
+            return out
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            child, parent, score = (batch.column(n).to_numpy() for n in names[:3])
+            begin = int(np.searchsorted(child, child[0], side="right")) if child[0] == open_child else 0
+            end = int(np.searchsorted(child, child[-1]))  # the last child may go on
+            found = folded(child[:begin], parent[:begin], score[:begin])
+            if end > begin:
+                inner = [x[begin:end] for x in (child, parent, score)]
+                ready, rest = _without_eviction(*inner)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ready], names)
+                found += folded(*[x[rest] for x in inner])
+            if end >= begin:
+                found += folded(child[end:], parent[end:], score[end:])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found)], names)
+        if open_child is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip((open_child, *slots.winner()))], names)
 
     ship(rows.sparkSession)
     pairs = scored_pairs(rows).filter("eligible").select("child", "parent", "score", "src")

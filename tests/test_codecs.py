@@ -210,6 +210,32 @@ def test_random_graphs_against_plain(spark, seed, n, m, low):
         assert codecs.same_edges(codecs.expanded(codecs.decoded_commands(codecs.encoded_rows(best)), gain, joined), table_)
 
 
+def test_slots_over_batches(spark):
+    """Children with few and with many candidates, cut by batches of any size: as fed row by row."""
+    r = random.Random(31)
+    rows = [(c, src, r.randrange(3 if c % 2 else 12), r.random()) for c in range(60) for src in range(r.choice([1, 2, 40]))]
+    want = {}
+    for c in range(60):
+        slots = forest._Slots()
+        for row in rows:
+            if row[0] == c:
+                slots.feed(*row[2:])
+        want[c] = slots.winner()
+    child, parent, score = ([row[i] for row in rows] for i in (0, 2, 3))
+    ready, rest = forest._without_eviction(*map(np.array, (child, parent, score)))
+    for c, *found in zip(*[x.tolist() for x in ready]):
+        assert tuple(found) == want[c]
+    assert {c for c, more in zip(child, rest) if more} == set(want) - set(ready[0].tolist()) != set()
+    ordered = relabel.ordered_rows(table(spark, random_graph(5, 150, 900, 90))).cache()
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    results = []
+    for n in ("10000", "7", "1"):
+        spark.conf.set(size, n)
+        results.append(sorted(map(tuple, forest.slot_winners(ordered).collect())))
+    spark.conf.unset(size)
+    assert results[0] and results[0] == results[1] == results[2]
+
+
 @pytest.mark.parametrize("length", [127, 128, 129, 300])
 def test_step_cap(spark, length):
     """One long row whose parents form one chain with side branches, from explicit parents."""
