@@ -10,8 +10,8 @@ leave the split uneven by more than ``TOLERANCE`` of a leaf; then it is cut in d
 Quantiles are found by distributed histogram passes over narrow rows: each pass sums bytes in 1,024 bins
 of a node's key range and goes on in the bin that holds the quantile. Only bins reach the driver.
 
-Edge cases: null text has size 1 and checksum 0; equal rows (id included) are cut arbitrarily only in count, each still takes one
-slot; null doc_ids come first; an empty table gives no rows.
+Edge cases: null text has size 1 and checksum 0; rows that are equal in doc_id and text can't be told apart, so they stay in one shard, which may be
+uneven by their bytes, and each takes a slot; null doc_ids come first; an empty table gives no rows.
 """
 
 from __future__ import annotations

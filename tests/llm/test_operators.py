@@ -268,6 +268,16 @@ def test_shards_keep_groups_together(spark):
     assert split <= 7  # one group at most for each cut
 
 
+def test_shards_of_repeated_rows(spark):
+    """Rows equal in id and text stay together, each with its slot."""
+    rows = [(1, "the same row")] * 300 + [(i, "other text") for i in range(10, 310)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shards=4).collect()
+    assert len({x["shard"] for x in got if x["doc_id"] == 1}) == 1 and len(got) == 600
+    for k in range(4):
+        slots = sorted(x["slot"] for x in got if x["shard"] == k)
+        assert slots == list(range(len(slots)))
+
+
 def test_shards_of_odd_rows(odd_docs, no_docs):
     got = sharding.shard_by_bytes(odd_docs, shards=8).collect()
     assert len(got) == odd_docs.count()
