@@ -97,15 +97,26 @@ class Compressors:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Weights (last: intercept) of a ridge logistic regression by Newton steps."""
+    """Weights (last: intercept) of a ridge logistic regression by Newton steps, each halved until the loss falls."""
     x = np.column_stack((x, np.ones(len(x))))
     w = np.zeros(x.shape[1])
-    penalty = ridge * len(x) * np.diag([*np.ones(x.shape[1] - 1), 0.0])
+    penalty = ridge * len(x) * np.diag([*np.ones(x.shape[1] - 1), 1e-3])
+
+    def loss(v: np.ndarray) -> float:
+        z = x @ v
+        return float((np.logaddexp(0, z) - y * z).sum() + v @ penalty @ v / 2)
+
+    now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w)), x.T @ (y - p) - penalty @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        size = 1.0
+        while (new := loss(w + size * step)) > now and size > 1e-6:
+            size /= 2
+        if new > now:
+            break
+        w, before, now = w + size * step, now, new
+        if before - now < 1e-9 * (1 + abs(now)):
             break
     return w
 

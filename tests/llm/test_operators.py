@@ -237,6 +237,18 @@ def test_quality_parts():
     assert quality.scores(quality.Model(base=0.7), ["a", None]).tolist() == [0.7, 0.7]
 
 
+@pytest.mark.parametrize(("bad", "gap"), [(0.5, 0.3), (0.08, 6.0), (0.02, 1.0), (0.1, 50.0)])
+def test_calibration_settles(bad, gap):
+    """Rare or perfectly separated kinds: weights stay finite, the gradient vanishes, and scores keep their order."""
+    r = np.random.default_rng(5)
+    y = (r.random(3000) > bad).astype(float)
+    x = quality.expand(r.normal(size=(3000, 5)) + np.outer(y, [gap, 0, gap, 0, 0]))
+    w = quality._logistic(x, y)
+    z = np.column_stack((x, np.ones(len(x)))) @ w
+    p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    assert np.abs(w).max() < 1e4 and np.abs((y - p).sum()) < 1 and z[y == 1].mean() > z[y == 0].mean()
+
+
 def test_quality_filter_keeps_columns(docs, tables, spark, no_docs):
     model = quality.train(docs, spark.read.parquet(f"{tables}/labels.parquet"))
     kept = quality.accepted(docs, model)
