@@ -31,7 +31,7 @@ SAMPLE = 8_000
 #: Bytes of training text in a dictionary, and of a chunk that is compressed on its own.
 DICTIONARY, CHUNK = 112 << 10, 1_024
 #: Rows of either kind that build its dictionary, about (half of the sampled rows at most), and bytes that one row may give to it.
-DICTIONARY_ROWS, ROW_BYTES = 400, 1_200
+DICTIONARY_ROWS, ROW_BYTES = 200, 1_200
 LEVEL = 3
 CUTOFF = 0.3
 FOLDS = 5
