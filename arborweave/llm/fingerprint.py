@@ -36,6 +36,7 @@ FULL = 8
 BATCH_CHARS = 300_000
 _ODD1, _ODD2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_WEIGHTS = (np.arange(1, FULL + 1) / FULL) ** 3
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -129,17 +130,26 @@ def _sketches(texts: list[str], sketch: int) -> list[np.ndarray]:
     first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     symbols = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     sizes = np.ones(len(symbols), dtype=np.int64)
-    found: list[np.ndarray] = []
+    owners: list[np.ndarray] = []
+    drawn: list[np.ndarray] = []
     open_texts, level = np.ones(len(texts), dtype=bool), 0
     while open_texts.any():
         level += 1
         symbols, sizes, first = parse_level(symbols, sizes, first)
         count = np.diff(first, append=len(symbols))
         chosen = np.repeat(open_texts, count)
-        rank = ranks(_mix(symbols[chosen] + np.uint64(level * int(_STEP) % (1 << 64))), sizes[chosen])
-        found.append((np.repeat(np.arange(len(texts), dtype=np.uint64), count)[chosen] << np.uint64(32)) | rank)
+        drawn.append(ranks(_mix(symbols[chosen] + np.uint64(level * int(_STEP) % (1 << 64))), sizes[chosen]))
+        owners.append(np.repeat(np.arange(len(texts), dtype=np.uint64), count)[chosen])
         open_texts &= count > 1  # a text that is one phrase has no further level
-    keyed = np.unique(np.concatenate(found))
+    owner, rank = np.concatenate(owners), np.concatenate(drawn)
+    # Ranks above a bound that three sketches' worth of names should fall below needn't be sorted; a text that has too few below it keeps all.
+    weight = np.bincount(owner.view(np.int64), weights=_WEIGHTS[rank & np.uint32(7)], minlength=len(texts))
+    below = rank <= (3 * sketch / weight).astype(np.float32).view(np.uint32)[owner]
+    keyed = np.unique((owner[below] << np.uint64(32)) | rank[below])
+    few = np.bincount((keyed >> np.uint64(32)).view(np.int64), minlength=len(texts)) < sketch
+    rest = few[owner] & ~below
+    if rest.any():
+        keyed = np.unique(np.concatenate((keyed, (owner[rest] << np.uint64(32)) | rank[rest])))
     edges = np.searchsorted(keyed, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(32))
     low = keyed.astype(np.uint32)
     return [low[a : min(b, a + sketch)] for a, b in zip(edges, edges[1:])]
@@ -153,13 +163,16 @@ def likeness(a: np.ndarray, b: np.ndarray, sketch: int = SKETCH) -> float:
     """
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    union, times = np.unique(np.concatenate((a, b)), return_counts=True)
-    weight = (((union & np.uint32(7)).astype(np.float64) + 1) / FULL) ** 3
+    both = np.sort(np.concatenate((a, b)))
+    own = np.ones(len(both), dtype=bool)
+    np.not_equal(both[1:], both[:-1], out=own[1:])
+    union, common = both[own], ~np.append(own[1:], True)[own]
+    weight = _WEIGHTS[union & np.uint32(7)]
     if max(len(a), len(b)) >= sketch and len(union) >= sketch > 1:
         bound = float((union[sketch - 1] & np.uint32(0xFFFFFFF8)).view(np.float32))
-        weight, times = weight[: sketch - 1], times[: sketch - 1]
+        weight, common = weight[: sketch - 1], common[: sketch - 1]
         weight = weight / -np.expm1(-weight * bound)
-    return float(weight[times == 2].sum() / weight.sum())
+    return float(weight[common].sum() / weight.sum())
 
 
 def as_hex(own: np.ndarray) -> str:
