@@ -133,15 +133,19 @@ def test_insert_external_and_ratio(spark):
 
 
 def shuffled_rows(spark, run):
-    """What ``run`` gives, and the rows that its stages wrote to shuffles."""
+    """What ``run`` gives, and the rows that its stages wrote to shuffles where no table is small enough for a broadcast."""
 
     def written():
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
         stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
         return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
-    before = written()
-    return run(), written() - before
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        return run(), written() - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 CLIQUE = [(a, b) for a in range(80) for b in range(80) if a != b]
@@ -154,3 +158,10 @@ def test_triangle_count_moves_no_ways(spark):
     got, rows = shuffled_rows(spark, lambda: analytics.triangle_count(adj).first()[0])
     assert got == WAYS
     assert rows < WAYS / 2
+
+
+def test_local_triangles_move_no_ways(spark):
+    adj = spark.createDataFrame(CLIQUE, "src long, dst long")
+    got, rows = shuffled_rows(spark, lambda: analytics.local_triangles(adj).collect())
+    assert sorted(map(tuple, got)) == [(i, 79 * 78 // 2) for i in range(80)]
+    assert rows < WAYS / 2
