@@ -165,3 +165,13 @@ def test_local_triangles_move_no_ways(spark):
     got, rows = shuffled_rows(spark, lambda: analytics.local_triangles(adj).collect())
     assert sorted(map(tuple, got)) == [(i, 79 * 78 // 2) for i in range(80)]
     assert rows < WAYS / 2
+
+
+def test_encoded_triangles_move_no_ways(spark):
+    adj = spark.createDataFrame(CLIQUE, "src long, dst long").cache()
+    rows = relabel.ordered_rows(adj)
+    parents = forest.first_fit(rows).cache()
+    commands = codecs.tree_commands(rows, parents).cache()
+    got, moved = shuffled_rows(spark, lambda: analytics.triangle_count_encoded(commands, parents, 80).first()[0])
+    assert got == WAYS
+    assert moved < WAYS / 2
