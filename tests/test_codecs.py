@@ -294,3 +294,10 @@ def test_survey_sizes(spark):
         assert codecs.command_metrics("t", g.commands).first()["bytes"] == tree
         assert codecs.command_metrics("t", g.opt_commands).first()["bytes"] == optimised
         assert g.gain_parents.filter("switched").count() == switched
+
+
+def test_joins_expand_paths_of_any_length(spark):
+    parents = spark.createDataFrame([(i, i - 1) for i in range(1, 300)], "child long, parent long")
+    commands = spark.createDataFrame([(5, 299, 299), (6, 10, 3)], "src long, bottom long, steps long")
+    got = sorted(map(tuple, codecs.expanded(commands, parents).collect()))
+    assert got == [(5, i) for i in range(300)] + [(6, i) for i in range(7, 11)]
