@@ -54,12 +54,13 @@ class WordTokenizer:
     in Latin-1, where lowering goes character by character and nothing composes, are lowered first.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.stand_ins = self.tokenizer.model, _stand_ins()
+        self.cache_words = cache_words
         self.young: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -94,7 +95,7 @@ class WordTokenizer:
                 if len(stem) <= CACHE_CHARS:
                     young[stem] = ids
                 if tail not in self.tails:
-                    if len(self.tails) > CACHE_WORDS:
+                    if len(self.tails) > self.cache_words:
                         self.tails.clear()
                     self.tails[tail] = self.encoded([tail])[0]
                 ids += self.tails[tail]
@@ -103,7 +104,7 @@ class WordTokenizer:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [self.words(t) for t in texts]
-        if len(self.young) > CACHE_WORDS:
+        if len(self.young) > self.cache_words:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         missing = set().union(*split).difference(young)
@@ -121,9 +122,10 @@ class WordTokenizer:
 _loaded: dict[str, WordTokenizer] = {}
 
 
-def _tokenizer(path: str) -> WordTokenizer:
+def _tokenizer(path: str, cache_words: int = CACHE_WORDS) -> WordTokenizer:
     if path not in _loaded:
         _loaded[path] = WordTokenizer(path)
+    _loaded[path].cache_words = cache_words
     return _loaded[path]
 
 
@@ -135,11 +137,11 @@ def pieces_of(ids: bytes, capacity: int = CAPACITY, end_id: int = END_ID) -> Ite
         yield piece, at // 4, len(part) // 4, zlib.crc32(part)
 
 
-def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece, with the task that made it and the piece's rank within its length in that task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, task = _tokenizer(path), TaskContext.get().partitionId()
+        tokenizer, task = _tokenizer(path, cache_words), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             owner, rows = [], []
@@ -214,13 +216,14 @@ def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[int,
     return slots
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    The broadcast plan holds a few ranges for each of ``capacity`` lengths, whatever the number of pieces.
+    The broadcast plan holds a few ranges for each of ``capacity`` lengths, whatever the number of pieces. Fewer ``cache_words`` take
+    less memory of a worker and more time.
     """
     spark = docs.sparkSession
-    pieces = cut(tokenized_pieces(docs, path, capacity, end_id))
+    pieces = cut(tokenized_pieces(docs, path, capacity, end_id, cache_words))
     counts = cut(pieces.groupBy("length", "task").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = spark.sparkContext.broadcast(plan_slots(histogram, capacity))

@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from arborweave.llm import mixing, nearcopies, packing, quality, queries, secrets
-from arborweave.session import table
+from arborweave.session import small_batches, table
+
+#: Words in a generation of the tokenizer's cache: a worker keeps it while later runs' stages need the executor's memory.
+CACHE_WORDS = 100_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    small_batches(spark)
     return quality.accepted(docs, quality.train(docs, queries.read(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    small_batches(spark)
     return nearcopies.deduplicated(docs)
 
 
@@ -30,7 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences."""
-    return packing.pack(docs, queries.tokenizer_path())
+    small_batches(spark)
+    return packing.pack(docs, queries.tokenizer_path(), cache_words=CACHE_WORDS)
 
 
 STAGES = [

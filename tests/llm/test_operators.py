@@ -593,3 +593,14 @@ def test_packing_odd_rows(odd_docs, no_docs):
     for parts in sequences.values():
         assert [o for o, _ in sorted(parts)] == [0, *np.cumsum([n for _, n in sorted(parts)])[:-1]] and sum(n for _, n in parts) <= 256
     assert packing.pack(no_docs, queries.tokenizer_path()).isEmpty()
+
+
+def test_word_cache_is_bounded():
+    """Two generations of ``cache_words``, and what one call adds; the same ids as with a cache that holds everything."""
+    r = random.Random(5)
+    small, large = packing.WordTokenizer(queries.tokenizer_path(), 100), packing.WordTokenizer(queries.tokenizer_path())
+    texts = [prose(r, "en", 60) for _ in range(80)] * 2
+    for t in texts:
+        assert small.ids([t]) == large.ids([t])
+        assert len(small.young) <= 100 + 2 * 60 and len(small.old) <= 100 + 2 * 60
+    assert len(large.young) > 1000
